@@ -15,6 +15,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraglens.llm.simhash import simhash_components
+
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraglens.llm.sharding import shard_documents
 
@@ -33,5 +39,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_virtual_slots, op8_pieces, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op7_virtual_slots, op8_pieces, op10_pattern_packing)}
 ORACLE_SQL: dict[str, str] = {}
