@@ -21,6 +21,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraglens.llm.suffix_dedup import cut_repeats
+
+    return cut_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraglens.llm.sharding import shard_documents
 
@@ -39,5 +45,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op7_virtual_slots, op8_pieces, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_suffix_arrays, op7_virtual_slots, op8_pieces, op10_pattern_packing)}
 ORACLE_SQL: dict[str, str] = {}
