@@ -15,6 +15,18 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sorted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraglens.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
+
+
+def op2_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraglens.llm.pq_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraglens.llm.simhash import simhash_components
 
@@ -45,5 +57,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_suffix_arrays, op7_virtual_slots, op8_pieces, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_sorted_lists, op2_product_quantisation, op3_simhash, op4_suffix_arrays, op7_virtual_slots, op8_pieces, op10_pattern_packing)}
 ORACLE_SQL: dict[str, str] = {}
