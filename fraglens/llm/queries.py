@@ -39,6 +39,18 @@ def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_private_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraglens.llm.pii import find_private
+
+    return find_private(_table(spark, sf_dir, "documents"))
+
+
+def op6_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraglens.llm.toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraglens.llm.sharding import shard_documents
 
@@ -57,5 +69,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sorted_lists, op2_product_quantisation, op3_simhash, op4_suffix_arrays, op7_virtual_slots, op8_pieces, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_sorted_lists, op2_product_quantisation, op3_simhash, op4_suffix_arrays, op5_private_contexts, op6_toxic_lexicon, op7_virtual_slots, op8_pieces, op10_pattern_packing)}
 ORACLE_SQL: dict[str, str] = {}
