@@ -63,11 +63,17 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fraglens.llm.quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraglens.llm.packing import pack_documents
 
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sorted_lists, op2_product_quantisation, op3_simhash, op4_suffix_arrays, op5_private_contexts, op6_toxic_lexicon, op7_virtual_slots, op8_pieces, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_sorted_lists, op2_product_quantisation, op3_simhash, op4_suffix_arrays, op5_private_contexts, op6_toxic_lexicon, op7_virtual_slots, op8_pieces, op9_weak_labels, op10_pattern_packing)}
 ORACLE_SQL: dict[str, str] = {}
