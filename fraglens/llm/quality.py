@@ -28,8 +28,10 @@ _SIGNS = b"%&$#*!|~^=_<>{}[]\\"
 _SPACES = b" \t\n\r\x0b\x0c"
 GOOD, BAD = 1, 2
 #: Chance of a good and of a bad vote of a heuristic: on good documents, on bad ones; where learning starts.
-START = ((0.9, 0.01), (0.6, 0.3))
+START = ((0.9, 0.0002), (0.75, 0.2))
 START_BAD = 0.15
+#: A good document draws a bad vote from a heuristic at most this often; else the commonest fault would pass as good.
+FALSE_BAD = 0.0002
 #: Weight of the start, in documents.
 PRIOR_DOCS = 20.0
 
@@ -78,6 +80,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
         for v in range(3):
             chance[:, :, v] = weight @ (patterns == v) + PRIOR_DOCS * start[:, :, v]
         chance /= chance.sum(axis=2, keepdims=True)
+        chance[0, :, BAD] = np.minimum(chance[0, :, BAD], FALSE_BAD)
+        chance[0, :, GOOD] = 1 - chance[0, :, 0] - chance[0, :, BAD]
         bad = float((weight[1].sum() + PRIOR_DOCS * START_BAD) / (counts.sum() + PRIOR_DOCS))
         if np.abs(new - posterior).max(initial=0) < 1e-9:
             break
@@ -99,7 +103,7 @@ class _Features(dict):
     """Words to their hashed features."""
 
     def __missing__(self, word: str) -> int:
-        found = zlib.crc32(shape(word).encode()) % (FEATURES - 2) + 2
+        found = zlib.crc32(shape(word).encode()) % (FEATURES - 1) + 1
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
                 self.clear()
@@ -108,7 +112,7 @@ class _Features(dict):
 
 
 def features(text: str, memo: _Features) -> np.ndarray:
-    """The hashed feature of each word; feature 0 for a word that repeats the one before, 1 for a rare-word text."""
+    """The hashed feature of each word; feature 0 for a word that repeats the one before."""
     words = text.split()
     got = np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
     again = np.fromiter(map(eq, words, islice(words, 1, None)), dtype=bool, count=max(0, len(words) - 1))
@@ -128,11 +132,10 @@ def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 400) -> tupl
     key, count = np.unique(doc * FEATURES + flat, return_counts=True)
     doc, col = key // FEATURES, key % FEATURES
     value = np.sqrt(count / size[doc])
-    share = np.where(target >= 0.5, 0.5 / max(1.0, (target >= 0.5).sum()), 0.5 / max(1.0, (target < 0.5).sum()))
     m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.bincount(doc, weights=value * w[col], minlength=len(rows)) + b
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * share
+        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(rows)
         g = np.bincount(col, weights=value * r[doc], minlength=FEATURES) + 1e-5 * w
         gb = r.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb

@@ -198,7 +198,7 @@ def deal(fps: DataFrame, parts: list[tuple[list[int], int]], column: str = "fp")
         tag = F.lit(k << 40)
         cells.append(F.array(F.struct((own + tag).alias("cell"), F.lit(False).alias("probe"))))
         if masks:
-            cells.append(F.transform(F.lit(masks).cast("array<long>"), lambda m, own=own, tag=tag: F.struct((own.bitwiseXOR(m) + tag).alias("cell"), F.lit(True).alias("probe"))))
+            cells.append(F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), _probe(own, tag)))
     dealt = fps.select(*fps.columns, F.explode(F.concat(*cells)).alias("to")).select(*fps.columns, "to.cell", "to.probe")
     full = dealt.groupBy("cell").count().where(F.col("count") > BLOCK)
     n = F.ceil(F.col("count") / BLOCK).cast("int")
@@ -207,6 +207,10 @@ def deal(fps: DataFrame, parts: list[tuple[list[int], int]], column: str = "fp")
     return dealt.join(full, "cell", "left").select(*fps.columns, "cell", "probe", F.explode(blocks).alias("b")).select(*fps.columns, "cell", "probe", "b.bi", "b.bj")
 
 
+def _probe(own: Column, tag: Column) -> Callable[[Column], Column]:
+    return lambda mask: F.struct((own.bitwiseXOR(mask) + tag).alias("cell"), F.lit(True).alias("probe"))
+
+
 def close_pairs(cell: np.ndarray, probe: np.ndarray, *tests: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs in one cell, not both probes, whose fingerprints pass each test (fingerprints, most bits)."""
     cuts = bounds(cell)
