@@ -24,6 +24,7 @@ SAMPLE, FEATURES = 6000, 1 << 14
 MEMO_WORDS, MEMO_CHARS = 300_000, 64
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
+_DIGITS = b"0123456789"
 _SIGNS = b"%&$#*!|~^=_<>{}[]\\"
 _SPACES = b" \t\n\r\x0b\x0c"
 GOOD, BAD = 1, 2
@@ -44,6 +45,7 @@ def votes(text: str) -> tuple[int, ...]:
         return (BAD,) * 7
     solid = len(raw.translate(None, _SPACES))
     letters = len(raw) - len(raw.translate(None, _LETTERS))
+    digits = len(raw) - len(raw.translate(None, _DIGITS))
     upper = len(raw) - len(raw.translate(None, _UPPER))
     signs = len(raw) - len(raw.translate(None, _SIGNS))
     again = sum(map(eq, words, islice(words, 1, None))) / n
@@ -56,9 +58,9 @@ def votes(text: str) -> tuple[int, ...]:
     return (
         judge(words.count("|") / n, 0.001, 0.05),
         judge(upper / max(1, letters), 0.2, 0.6),
-        judge(signs / max(1, solid), 0.01, 0.06),
+        judge(signs / max(1, solid), 0.03, 0.06),
         judge(again, 0.05, 0.3),
-        judge(1 - letters / max(1, solid), 0.25, 0.7),
+        judge(1 - (letters + digits) / max(1, solid), 0.25, 0.6),
         judge(repeated, 0.2, 0.6),
         judge(abs(solid / n - 5.5), 4.0, 12.0),
     )
