@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fraglens.operators.fragments import promoters
 from fraglens.operators.intervals import overlap_join
 from fraglens.operators.stats import average_ranks
+from fraglens.operators.steps import cut
 
 
 def link_regions(regions: DataFrame, tx: DataFrame, upstream: int = 250_000, downstream: int = 250_000, coding_only: bool = False) -> DataFrame:
@@ -63,26 +64,26 @@ def prune(vertices: DataFrame, edges: DataFrame, keep_vertex: Column | None = No
 def pagerank(edges: DataFrame, personal: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, directed: bool = False) -> DataFrame:
     """(id, rank) over edges (src, dst, weight), from the personal weights (id, weight), uniform without them.
 
-    Undirected by default. Each fifth round is checkpointed where the session has a checkpoint folder.
+    Undirected by default. Every other round is written to the checkpoint folder, which cuts its lineage.
     """
     links = edges.select("src", "dst", (F.col("weight") if "weight" in edges.columns else F.lit(1.0)).alias("w"))
     if not directed:
         links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     links = links.groupBy("src", "dst").agg(F.sum("w").alias("w"))
     out = links.groupBy("src").agg(F.sum("w").alias("_t"))
-    links = links.join(out, "src").select("src", "dst", (F.col("w") / F.col("_t")).alias("w"))
+    links = cut(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("_t")).alias("w")))
+    out = links.select("src").distinct()
     nodes = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
     start = nodes.join(personal.select("id", F.col("weight").alias("p")), "id", "left").select("id", F.coalesce("p", F.lit(0.0)).alias("p")) if personal is not None else nodes.withColumn("p", F.lit(1.0))
     total = start.agg(F.sum("p").alias("_s"))
-    start = start.join(F.broadcast(total)).select("id", (F.col("p") / F.col("_s")).alias("p"))
+    start = cut(start.join(F.broadcast(total)).select("id", (F.col("p") / F.col("_s")).alias("p")))
     rank = start.withColumn("rank", F.col("p"))
-    keep = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     for i in range(rounds):
         given = links.join(rank, links["src"] == rank["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("rank")).alias("_g"))
         lost = rank.join(out, rank["id"] == out["src"], "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_l"))
         rank = start.join(given, "id", "left").join(F.broadcast(lost)).select("id", "p", ((1 - damping) * F.col("p") + damping * (F.coalesce("_g", F.lit(0.0)) + F.col("_l") * F.col("p"))).alias("rank"))
-        if keep and i % 5 == 4:
-            rank = rank.checkpoint()
+        if i % 2:
+            rank = cut(rank)
     return rank.select("id", "rank")
 
 

@@ -593,3 +593,283 @@ def _(s, d):
 def _(s, d):
     o = fx.table(s, d, "orders").select(F.col("o_orderpriority").alias("ref"), F.col("o_orderstatus").alias("query"), (F.col("o_custkey") % 10).alias("k"))
     return st.overlap_scores(o, "ref", "query", "k").select("ref", "query", r("score"))
+
+
+# ---- neighbours, clusters, embeddings ------------------------------------------------------------------------------
+
+from fraglens.operators import alignments as al  # noqa: E402
+from fraglens.operators import cluster as cl  # noqa: E402
+from fraglens.operators import embedding as em  # noqa: E402
+from fraglens.operators import integrate as ig  # noqa: E402
+from fraglens.operators import motif as mo  # noqa: E402
+from fraglens.operators import neighbors as ne  # noqa: E402
+from fraglens.operators import network as nw  # noqa: E402
+from fraglens.operators import peaks as pk  # noqa: E402
+from fraglens.operators import steps  # noqa: E402
+
+
+def _points(s, d):
+    return fx.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+
+
+_NEAR = ', d AS (SELECT a."row" AS i, b."row" AS j, sqrt(sum((a.value - b.value) * (a.value - b.value))) AS dist FROM coords a JOIN coords b USING ("column") WHERE a."row" <> b."row" GROUP BY ALL), k AS (SELECT i, j, dist, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM d QUALIFY rank <= {k})'
+
+
+def _near_sql(k: int, text: str) -> str:
+    return fx.with_sql("coords", _NEAR.format(k=k) + text).replace(" , d AS", ", d AS")
+
+
+@query("J_09_CL_01_ORD_06_knn", sql=_near_sql(15, " SELECT i, j, round(dist, 6) AS dist, CAST(rank AS BIGINT) AS rank FROM k"))
+def _(s, d):
+    return ne.knn(_points(s, d), 15).select("i", "j", F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("J_10_11_knn_approximate")
+def _(s, d):
+    return ne.knn_lsh(_points(s, d), 15, bucket=1.0, reach=1.2)
+
+
+@query("J_12_13_mutual_neighbours", sql=_near_sql(10, " SELECT a.i, a.j FROM k a JOIN k b ON a.i = b.j AND a.j = b.i"))
+def _(s, d):
+    near = ne.knn(_points(s, d), 10)
+    return ne.mutual(near, near)
+
+
+@query("J_16_INT_04_transfer_labels")
+def _(s, d):
+    return ne.transfer_labels(_points(s, d).withColumn("label", F.when(F.col("id") % 5 != 0, F.col("label"))))
+
+
+SQL["J_16_INT_04_transfer_labels"] = fx.with_sql("coords", ', u AS (SELECT "row", "column", value / sqrt(sum(value * value) OVER (PARTITION BY "row")) AS v FROM coords), d AS (SELECT a."row" AS i, b."row" AS j, 1 - sum(a.v * b.v) AS dist FROM u a JOIN u b USING ("column") WHERE a."row" % 5 = 0 AND b."row" % 5 <> 0 GROUP BY ALL), k AS (SELECT i, j FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY dist, j) <= 15), v AS (SELECT i, "label", count(*) AS n FROM k JOIN embeddings ON j = vec_id GROUP BY ALL) SELECT i AS id, "label" FROM v QUALIFY row_number() OVER (PARTITION BY i ORDER BY n DESC, "label") = 1').replace(" , u AS", ", u AS")
+
+
+@query("LA_16_markov", sql=_near_sql(15, ', s AS (SELECT i, dist AS s FROM k WHERE rank = 5), w AS (SELECT i, j, exp(-(dist / s) * (dist / s)) AS w FROM k JOIN s USING (i)), b AS (SELECT i, j, sum(w) AS w FROM (SELECT i, j, w FROM w UNION ALL SELECT j, i, w FROM w) GROUP BY ALL) SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS p FROM b'))
+def _(s, d):
+    return ne.markov(ne.knn(_points(s, d), 15), 15).select("i", "j", r("p", 6))
+
+
+@query("LA_16_smooth")
+def _(s, d):
+    x = fx.coords(s, d).select(F.col("row").alias("id"), F.col("column").alias("feature_id"), "value").where("feature_id < 4")
+    return ne.diffuse(x, ne.markov(ne.knn(_points(s, d), 15), 15), 2)
+
+
+@query("CT_12_alignment_score", sql=_near_sql(15, " SELECT round(1 - (avg(s) - 15 / CAST(10 AS DOUBLE)) / (15 - 15 / CAST(10 AS DOUBLE)), 8) AS score FROM (SELECT i, CAST(count(*) FILTER (WHERE a.\"label\" = b.\"label\") AS DOUBLE) AS s FROM k JOIN embeddings a ON i = a.vec_id JOIN embeddings b ON j = b.vec_id GROUP BY 1)"))
+def _(s, d):
+    p = _points(s, d)
+    return ne.alignment_score(ne.knn(p, 15), p.select("id", F.col("label").alias("batch")), 15).select(r("score"))
+
+
+@query("CL_02_03_leiden")
+def _(s, d):
+    return cl.leiden(ne.knn(_points(s, d), 15))
+
+
+@query("CL_04_kmeans")
+def _(s, d):
+    return cl.kmeans(_points(s, d), 10)
+
+
+@query("CL_05_dbscan")
+def _(s, d):
+    p = _points(s, d)
+    return cl.dbscan(ne.knn(p, 20).select("i", "j", "dist"), p, 1.05, 3)
+
+
+@query("ORD_07_relabel", sql='SELECT vec_id AS id, CASE WHEN n < 60 THEN -1 ELSE k - 1 END AS "label" FROM embeddings JOIN (SELECT "label" AS c, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, "label") AS INTEGER) AS k FROM embeddings GROUP BY 1) ON "label" = c')
+def _(s, d):
+    return cl.relabel(_points(s, d).select("id", F.col("label").alias("cluster")), 60)
+
+
+@query("CT_01_consensus", sql="WITH r AS (SELECT r AS run, c_custkey % 60 AS id, (c_custkey * r) % 4 AS l FROM customer, (SELECT unnest([3, 5, 6, 7]) AS r) WHERE c_custkey <= 60) SELECT a.id AS i, b.id AS j, count(*) / CAST(4 AS DOUBLE) AS m FROM r a JOIN r b USING (run, l) GROUP BY ALL")
+def _(s, d):
+    c = fx.table(s, d, "customer").where("c_custkey <= 60")
+    runs = c.select(F.explode(F.array(*map(F.lit, (3, 5, 6, 7)))).alias("run"), "c_custkey").select("run", (F.col("c_custkey") % 60).alias("id"), (F.col("c_custkey") * F.col("run") % 4).alias("label"))
+    return cl.consensus(runs)
+
+
+@query("LA_10_11_12_spectral")
+def _(s, d):
+    return em.spectral(_x(s, d), 10)[0]
+
+
+@query("J_15_LA_14_multi_spectral")
+def _(s, d):
+    return em.multi_spectral([_x(s, d), mx.tile_matrix(fx.frag(s, d), fx.chroms(s, d), 10000)], n_comps=8)[0]
+
+
+@query("LA_15_PL_06_layout")
+def _(s, d):
+    return em.layout(_points(s, d))
+
+
+# ---- alignments ----------------------------------------------------------------------------------------------------
+
+_AL = "al AS (SELECT name, barcode, CAST(CASE WHEN mate = 1 THEN 99 ELSE 147 END + CASE WHEN l_partkey % 11 = 0 THEN 1024 ELSE 0 END + CASE WHEN l_partkey % 13 = 0 THEN 256 ELSE 0 END AS INTEGER) AS flag, CAST((l_partkey + l_suppkey) % 61 AS INTEGER) AS mapq, chrom FROM (SELECT *, concat('BC', lpad(CAST(l_orderkey % 97 AS VARCHAR), 4, '0')) AS barcode, concat('chr', CAST(1 + l_suppkey % 5 AS VARCHAR)) AS chrom, '' AS name, unnest([1, 2]) AS mate FROM lineitem))"
+
+
+@query("AGG_03_flagstat", sql=f"WITH {_AL} SELECT count(*) AS read, count(*) FILTER (WHERE flag & 256 <> 0) AS secondary, CAST(0 AS BIGINT) AS supplementary, count(*) FILTER (WHERE flag & 256 = 0) AS primary_reads, count(*) AS mapped, count(*) FILTER (WHERE flag & 256 = 0) AS primary_mapped, count(*) FILTER (WHERE flag & 1024 <> 0) AS duplicate, count(*) FILTER (WHERE flag & 1280 = 1024) AS primary_duplicate, count(*) FILTER (WHERE flag & 256 = 0) AS paired, count(*) FILTER (WHERE flag & 320 = 64) AS read_1, count(*) FILTER (WHERE flag & 384 = 128) AS read_2, count(*) FILTER (WHERE flag & 256 = 0) AS proper_pair, count(*) FILTER (WHERE flag & 256 = 0) AS mate_mapped, CAST(0 AS BIGINT) AS singleton FROM al")
+def _(s, d):
+    return al.flagstat(fx.alignments(s, d))
+
+
+@query("AGG_04_library_qc", sql=f"WITH {_AL} SELECT count(*) AS sequenced_reads, CAST(0 AS DOUBLE) AS frac_unmapped, round(count(*) FILTER (WHERE mapq >= 30) / CAST(count(*) AS DOUBLE), 8) AS frac_confident, CAST(1 AS DOUBLE) AS frac_valid_barcode, round(count(*) FILTER (WHERE mapq >= 30 AND chrom = 'chr5') / CAST(count(*) AS DOUBLE), 8) AS frac_nonnuclear FROM al WHERE flag & 256 = 0")
+def _(s, d):
+    reads = al.with_barcode(fx.alignments(s, d), r"^(BC\d+):")
+    return al.library_qc(reads, ("chr5",)).select("sequenced_reads", "frac_unmapped", r("frac_confident"), "frac_valid_barcode", r("frac_nonnuclear"))
+
+
+@query("FLT_01_SRC_03_usable_reads", sql=f"WITH {_AL} SELECT barcode, count(*) AS n FROM al WHERE flag & 1804 = 0 AND flag & 2 <> 0 AND mapq >= 30 GROUP BY 1")
+def _(s, d):
+    return al.usable(al.with_barcode(fx.alignments(s, d), r"^(BC\d+):")).groupBy("barcode").agg(F.count("*").alias("n"))
+
+
+@query("SRC_04_alignment_ends", sql="SELECT CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN 100 ELSE 90 END) AS BIGINT) AS span, CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 10 END) AS BIGINT) AS clipped FROM lineitem")
+def _(s, d):
+    e = al.with_ends(fx.alignments(s, d))
+    return e.agg(F.sum("span").alias("span"), F.sum((F.col("pos") - F.col("unclipped_start")) + (F.col("unclipped_end") - F.col("pos") - F.col("span"))).alias("clipped"))
+
+
+@query("SRC_01_AGG_05_ORD_02_dedup_pairs")
+def _(s, d):
+    return al.fragments_paired(al.usable(al.with_barcode(fx.alignments(s, d), r"^(BC\d+):")))
+
+
+SQL["SRC_01_AGG_05_ORD_02_dedup_pairs"] = f"""
+WITH l AS (SELECT DISTINCT {fx._BC} AS barcode, concat('chr', CAST(1 + l_suppkey % 5 AS VARCHAR)) AS chrom, {fx._START} % 500 AS p, l_linenumber % 2 AS odd, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 11 <> 0 AND l_partkey % 13 <> 0 AND (l_partkey + l_suppkey) % 61 >= 30),
+e AS (SELECT barcode, chrom, CASE WHEN odd = 1 THEN p - 5 ELSE p END AS a, p + 200 AS b FROM l)
+SELECT chrom, a AS start, b AS "end", barcode, CAST(count(*) AS INTEGER) AS count, CAST(NULL AS VARCHAR) AS strand FROM e GROUP BY ALL"""
+
+
+@query("AGG_05_dedup_single")
+def _(s, d):
+    return al.fragments_single(al.usable(al.with_barcode(fx.alignments(s, d), r"^(BC\d+):"), paired=False))
+
+
+# ---- peaks, motifs, networks ---------------------------------------------------------------------------------------
+
+
+def _called(s, d):
+    return fx.peak(s, d).withColumns({"summit": F.expr("(start + end) div 2"), "group": F.concat(F.lit("g"), (F.col("region_id") % 3).cast("string"))})
+
+
+@query("PK_04_W_06_PRJ_13_merge_peaks")
+def _(s, d):
+    return pk.merge_peaks(_called(s, d), fx.chroms(s, d))[0]
+
+
+@query("PK_04_membership")
+def _(s, d):
+    return pk.merge_peaks(_called(s, d), fx.chroms(s, d))[1]
+
+
+@query("PK_03_FLT_15_reproducible", "peak", ', p AS (SELECT * FROM peak WHERE region_id % 4 = 0) SELECT region_id FROM p WHERE NOT EXISTS (SELECT 1 FROM peak b WHERE b.region_id % 40 = 1 AND b.chrom = p.chrom AND b.start < p."end" AND p.start < b."end") AND EXISTS (SELECT 1 FROM peak b WHERE b.region_id % 4 = 1 AND b.chrom = p.chrom AND b.start < p."end" AND p.start < b."end") AND EXISTS (SELECT 1 FROM peak b WHERE b.region_id % 4 = 2 AND b.chrom = p.chrom AND b.start < p."end" AND p.start < b."end")')
+def _(s, d):
+    p = fx.peak(s, d)
+    return pk.reproducible(p.where("region_id % 4 = 0"), [p.where("region_id % 4 = 1"), p.where("region_id % 4 = 2")], p.where("region_id % 40 = 1")).select("region_id")
+
+
+SQL["PK_03_FLT_15_reproducible"] = SQL["PK_03_FLT_15_reproducible"].replace(" , p AS", ", p AS")
+
+
+@query("PK_01_call_peaks")
+def _(s, d):
+    return pk.call_peaks(fx.frag(s, d).join(fx.cell_groups(s, d), "barcode"), fx.chroms(s, d))
+
+
+@query("PK_02_narrow_table", sql="SELECT concat('chr', CAST(1 + p_partkey % 5 AS VARCHAR)) AS chrom, (p_partkey*48271) % 99000 AS start, (p_partkey*48271) % 99000 + 100 + p_size*10 AS \"end\", p_name AS name, CAST(least(1000, p_size * 30) AS INTEGER) AS score, '.' AS strand, CAST(p_retailprice AS DOUBLE) AS signal_value, CAST(NULL AS DOUBLE) AS p_value, CAST(p_size AS DOUBLE) AS q_value, CAST(50 AS BIGINT) AS peak FROM part")
+def _(s, d):
+    p = fx.peak(s, d).join(fx.table(s, d, "part").select(F.col("p_partkey").alias("region_id"), F.col("p_name").alias("name"), "p_size"), "region_id")
+    return pk.narrow_table(p.withColumns({"score": F.col("p_size") * 3, "signal_value": F.col("p_value"), "p_value": F.lit(-1.0), "q_value": F.col("p_size").cast("double"), "summit": F.col("start") + 50}))
+
+
+_MOTIFS = [mo.Motif("m1", ((0.9, 0.03, 0.03, 0.04),) * 3 + ((0.04, 0.03, 0.9, 0.03),) * 2), mo.Motif("m2", ((0.05, 0.85, 0.05, 0.05),) * 5), mo.Motif("m3", ((0.25, 0.25, 0.25, 0.25),) * 2 + ((0.0, 0.0, 0.0, 1.0),) * 4)]
+
+
+def _sequences(s, d):
+    return fx.table(s, d, "part").select(F.col("p_partkey").alias("region_id"), F.translate(F.md5("p_name"), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+
+
+@query("J_17_ST_07_08_NW_05_motif_scan")
+def _(s, d):
+    return mo.scan(_sequences(s, d), _MOTIFS, 1e-3)
+
+
+@query("ST_06_AGG_25_SET_01_motif_enrichment")
+def _(s, d):
+    seqs = _sequences(s, d)
+    groups = seqs.select(F.concat(F.lit("g"), (F.col("region_id") % 3).cast("string")).alias("group"), "region_id")
+    return mo.enrichment(mo.scan(seqs, _MOTIFS, 1e-3), groups, seqs)
+
+
+@query("J_14_NW_06_tf_to_gene", sql="SELECT DISTINCT concat('G', CAST(a.l_partkey % 50 AS VARCHAR)) AS tf, concat('G', CAST(b.o_custkey % 40 AS VARCHAR)) AS gene FROM lineitem a JOIN orders b ON a.l_orderkey = b.o_orderkey WHERE a.l_partkey % 50 IN (SELECT o_custkey % 40 FROM orders)")
+def _(s, d):
+    binding = fx.table(s, d, "lineitem").select(F.concat(F.lit("G"), (F.col("l_partkey") % 50).cast("string")).alias("tf"), F.col("l_orderkey").alias("region_id"))
+    links = fx.table(s, d, "orders").select(F.concat(F.lit("G"), (F.col("o_custkey") % 40).cast("string")).alias("gene"), F.col("o_orderkey").alias("region_id"))
+    return nw.link_tf_to_gene(binding, links)
+
+
+@query("NW_02_correlation", "coords", ', k AS (SELECT "row", "column", rank() OVER w + (count(*) OVER (PARTITION BY "row", value) - 1) / CAST(2 AS DOUBLE) AS value FROM coords WHERE "row" < 40 WINDOW w AS (PARTITION BY "row" ORDER BY value)) SELECT a."row" AS src, b."row" AS dst, round(corr(a.value, b.value), 6) + CAST(0 AS DOUBLE) AS cor_score FROM k a JOIN k b USING ("column") WHERE (a."row" + b."row") % 3 = 0 GROUP BY ALL')
+def _(s, d):
+    m = fx.coords(s, d).where("row < 40").select(F.col("row").alias("id"), F.col("column").alias("cell"), "value")
+    ids = s.range(40)
+    edges = ids.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("dst")).where("(src + dst) % 3 = 0")
+    return nw.correlation_scores(edges, m, m).select("src", "dst", r("cor_score", 6))
+
+
+SQL["NW_02_correlation"] = SQL["NW_02_correlation"].replace(" , k AS", ", k AS")
+
+
+@query("NW_07_FLT_16_prune", sql="SELECT o_custkey AS src, o_orderkey % 500 AS dst, o_totalprice AS w FROM orders WHERE o_totalprice > 20000 AND o_custkey % 7 <> 0 AND (o_orderkey % 500) % 7 <> 0")
+def _(s, d):
+    edges = fx.table(s, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 500).alias("dst"), F.col("o_totalprice").alias("w"))
+    vertices = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    return nw.prune(vertices, edges, F.col("id") % 7 != 0, F.col("w") > 20000)[1].select("src", "dst", "w")
+
+
+@query("NW_08_pagerank")
+def _(s, d):
+    o = fx.table(s, d, "orders").select((F.col("o_custkey") % 80).alias("src"), (F.col("o_orderkey") % 70 + 5).alias("dst"))
+    return nw.pagerank(o.where("src <> dst"), rounds=10)
+
+
+@query("NW_09_edge_stats", sql="SELECT CASE WHEN l_partkey <= 100 THEN '<=100' WHEN l_partkey <= 500 THEN '<=500' WHEN l_partkey <= 2000 THEN '<=2000' ELSE '<=20000' END AS bucket, count(*) AS n, round(avg(l_quantity), 8) AS mean_score FROM lineitem GROUP BY 1")
+def _(s, d):
+    return nw.edge_stats(fx.table(s, d, "lineitem").select(F.col("l_partkey").alias("distance"), F.col("l_quantity").alias("score"))).select("bucket", "n", r("mean_score"))
+
+
+@query("QC_01_ORD_08_call_cells")
+def _(s, d):
+    return ig.called(fx.frag(s, d).groupBy("barcode").agg(F.count("*").alias("n_fragment")))
+
+
+@query("QC_02_FLT_10_scrublet")
+def _(s, d):
+    x = steps.cut(_x(s, d))
+    sim = ig.simulate_doublets(x, 2.0)
+    v, _ = em.spectral(x.select("barcode", "feature_id", "value").unionByName(sim), 8)
+    p = steps.cut(v.withColumnRenamed("barcode", "id"))
+    return ig.doublet_scores(p.where("id not like 'sim%'"), p.where("id like 'sim%'"))
+
+
+@query("INT_01_mnn_correct")
+def _(s, d):
+    p = _points(s, d).withColumn("batch", F.concat(F.lit("b"), (F.col("id") % 2).cast("string")))
+    return ig.mnn_correct(p.select("id", "batch", "v"), ["b0", "b1"], 10)
+
+
+@query("INT_02_harmony")
+def _(s, d):
+    p = _points(s, d).withColumn("batch", F.concat(F.lit("b"), (F.col("id") % 2).cast("string")))
+    return ig.harmony(p.select("id", "batch", "v"))
+
+
+@query("CT_05_ORD_09_top_loadings", "coords")
+def _(s, d):
+    return ig.top_loadings(fx.coords(s, d).select(F.col("column").alias("component"), F.col("row").alias("feature_id"), "value"), 100)
+
+
+@query("CT_06_INT_03_anchors")
+def _(s, d):
+    p = _points(s, d)
+    return ig.anchors(p.where("id % 2 = 0"), p.where("id % 2 = 1"))
