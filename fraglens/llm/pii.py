@@ -108,21 +108,13 @@ def learnt_spans(scanned: DataFrame) -> DataFrame:
         grown = graph.where("kind < 0").join(sure, "pattern").groupBy("instance", sure["kind"]).agg((1 - F.exp(miss)).alias("score"))
         score = materialise(seeds.unionByName(grown))
     found = score.where(F.col("score") >= SCORE).join(seeds.select("instance"), "instance", "left_anti")
-    fits = F.udf(_fits_kind, "boolean")
-    found = found.where(fits("kind", "instance")).groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("as"))
+    digits = F.regexp_count("instance", F.lit("[0-9]"))
+    fits = F.when(F.col("kind") == 0, F.col("instance").contains("@")).when(F.col("kind") == 1, (digits >= 4) & F.col("instance").rlike("[.:]")).when(F.col("kind") == 2, digits >= 12).otherwise(digits >= 7)
+    found = found.where(fits).groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("as"))
     hits = edges.where("kind < 0").join(found, "instance").join(sure.select("pattern", F.col("kind").alias("as")), ["pattern", "as"], "left_semi")
     return hits.groupBy("t").agg(F.array_distinct(F.collect_list(F.struct(F.col("as").alias("kind"), "start", "end"))).alias("added"))
 
 
-def _fits_kind(kind: int, token: str) -> bool:
-    digits = sum(c.isdigit() for c in token)
-    if kind == 0:
-        return "@" in token
-    if kind == 1:
-        return digits >= 4 and ("." in token or ":" in token)
-    return digits >= (12 if kind == 2 else 7)
-
-
 def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.struct(*keep).alias("row"), text.alias("text"), F.unhex(F.md5(text)).alias("t"))

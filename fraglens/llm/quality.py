@@ -72,7 +72,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
     patterns: votes by row, counts: documents with them. The start counts as PRIOR_DOCS documents, so that a heuristic
     that never votes, or a table without bad documents, leaves the estimates defined.
     """
-    start = np.array([[[1 - g - b, g, b]] * patterns.shape[1] for g, b in START]) if patterns.size else np.zeros((2, 0, 3))
+    start = np.array([[[1 - g - b, g, b]] * patterns.shape[1] for g, b in START])
+    if not len(patterns):
+        return start, START_BAD, np.zeros(0)
     chance, bad = start.copy(), START_BAD
     posterior = np.zeros(len(patterns))
     for _ in range(rounds):

@@ -45,11 +45,10 @@ class SlotMap:
         freed: list[int] = []
         for s in np.flatnonzero(load > target):
             own = np.flatnonzero(shard == s)
-            for i in own[np.argsort(size[own], kind="stable")]:
-                if load[s] <= target:
-                    break
-                load[s] -= size[i]
-                freed.append(int(i))
+            for i in own[np.argsort(-size[own], kind="stable")]:  # the largest that fit, so that few move
+                if size[i] and load[s] - size[i] >= target:
+                    load[s] -= size[i]
+                    freed.append(int(i))
         heap = [(int(load[s]), s) for s in range(shards)]
         heapq.heapify(heap)
         for i in sorted(freed, key=lambda i: (-int(size[i]), i)):
