@@ -76,4 +76,20 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sorted_lists, op2_product_quantisation, op3_simhash, op4_suffix_arrays, op5_private_contexts, op6_toxic_lexicon, op7_virtual_slots, op8_pieces, op9_weak_labels, op10_pattern_packing)}
-ORACLE_SQL: dict[str, str] = {}
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+#: SQL for DuckDB where it can express a query; hashes of shingles, byte windows, tokenizers and learnt models it can't.
+ORACLE_SQL: dict[str, str] = {
+    "op1_sorted_lists": f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_FINITE}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5""",
+    "op2_product_quantisation": f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {_FINITE}),
+n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM v WHERE list_inner_product(v, v) > 0),
+l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+r AS (SELECT vec_id AS i, vec_id AS j FROM embeddings UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i),
+c AS (SELECT i, min(j) AS component_id FROM r GROUP BY 1), d AS (SELECT i, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(d.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON vec_id = c.i LEFT JOIN d ON vec_id = d.i""",
+}
