@@ -22,7 +22,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if k > MOST_BUCKETS:
         return _by_doubling(s)
     smaller = _types(s)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     if not len(lms):
         return _induce(s, k, smaller, lms)
     order = _induce(s, k, smaller, lms[np.argsort(s[lms], kind="stable")])
@@ -30,7 +30,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     mark[lms] = True
     by_piece = order[mark[order]]
     names = _names(s, lms, by_piece)
-    at = np.empty(n, dtype=np.int64)
+    at = np.empty(n, dtype=np.int32)
     at[lms] = np.arange(len(lms))
     if names[-1] + 1 < len(lms):
         reduced = np.empty(len(lms), dtype=np.int64)
@@ -56,7 +56,7 @@ def _induce(s: np.ndarray, k: int, smaller: np.ndarray, lms: np.ndarray) -> np.n
     size = np.bincount(s, minlength=k)
     head = np.cumsum(size) - size
     larger = np.bincount(s[~smaller], minlength=k)
-    out = np.full(n, -1, dtype=np.int64)
+    out = np.full(n, -1, dtype=np.int32)
 
     def group(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """p by symbol, in its order within each; the symbols, and each one's place in its group."""
@@ -113,7 +113,7 @@ def _induce(s: np.ndarray, k: int, smaller: np.ndarray, lms: np.ndarray) -> np.n
 
 def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The name of each leftmost-smaller substring in order: equal ones share it."""
-    length = np.zeros(len(s), dtype=np.int64)
+    length = np.zeros(len(s), dtype=np.int32)
     length[lms] = np.append(np.diff(lms) + 1, len(s) - lms[-1])
     a, b = order[:-1], order[1:]
     same = length[a] == length[b]
@@ -144,8 +144,9 @@ def _by_doubling(s: np.ndarray) -> np.ndarray:
         after = np.zeros(len(open_), dtype=np.int64)
         inside = open_ + step < n
         after[inside] = rank[open_[inside] + step] + 1
-        by = np.argsort(rank[open_] * (n + 1) + after, kind="stable")
-        key = (rank[open_] * (n + 1) + after)[by]
+        key = rank[open_] * (n + 1) + after
+        by = np.argsort(key)  # equal keys stay one group, in any order
+        key = key[by]
         # ranks are first places among all suffixes, so that those of one group stay within its range
         first = np.cumsum(single) - single
         group = rank[open_][by]
@@ -156,7 +157,7 @@ def _by_doubling(s: np.ndarray) -> np.ndarray:
         dense[open_[by]] = first[group] + _carried(place, new)
         rank = dense
         step *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)
 
 
 def _carried(place: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -171,13 +172,14 @@ def permuted_lcp(data: np.ndarray, order: np.ndarray, pad: int) -> np.ndarray:
     one less than at i - 1. pad is a byte that isn't in data.
     """
     n = len(data)
-    phi = np.full(n, -1, dtype=np.int64)
+    phi = np.full(n, -1, dtype=np.int32)
     phi[order[1:]] = order[:-1]
-    words = np.zeros(n + 8, dtype=np.uint64)
-    padded = np.concatenate([data, np.full(16, pad, dtype=np.uint8)]).astype(np.uint64)
+    words = np.zeros(n + 8, dtype="<u8")
+    padded = np.concatenate([data, np.full(16, pad, dtype=np.uint8)])
+    as_bytes = words.view(np.uint8).reshape(-1, 8)  # little-endian
     for b in range(8):
-        words |= padded[b : b + n + 8] << np.uint64(8 * b)
-    i = np.arange(n)
+        as_bytes[:, b] = padded[b : b + n + 8]
+    i = np.arange(n, dtype=np.int32)
     reducible = (i > 0) & (phi > 0)
     reducible[reducible] = data[i[reducible] - 1] == data[phi[reducible] - 1]
     start = np.flatnonzero(~reducible & (phi >= 0))
@@ -193,8 +195,8 @@ def permuted_lcp(data: np.ndarray, order: np.ndarray, pad: int) -> np.ndarray:
         count[live] += 8
         inside = (a < n) & (b < n)
         live, a, b = live[inside], a[inside], b[inside]
-    plcp = np.zeros(n, dtype=np.int64)
-    base = np.full(n, -1, dtype=np.int64)
+    plcp = np.zeros(n, dtype=np.int32)
+    base = np.full(n, -1, dtype=np.int32)
     base[start] = start
     base[(~reducible) & (phi < 0)] = i[(~reducible) & (phi < 0)]
     last = np.maximum.accumulate(base)
