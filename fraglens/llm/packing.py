@@ -26,7 +26,7 @@ from fraglens.llm.merges import MergeTable
 
 CAPACITY = 1024
 END_ID = 2
-MEMO_WORDS, MEMO_CHARS = 300_000, 64
+MEMO_WORDS, MEMO_CHARS = 600_000, 64
 #: White space after a space: there the pre-tokenizer's runs may cross the space.
 _RUN = re.compile(r" \s")
 #: Words that the fast path takes: Latin characters, nothing that could be a special token, line breaks inside only.
