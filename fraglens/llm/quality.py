@@ -169,7 +169,10 @@ def score_quality(docs: DataFrame) -> DataFrame:
     patterns = np.array([r.votes for r in tally], dtype=np.int64).reshape(len(tally), 7)
     _, _, posterior = estimate(patterns, np.array([r.n for r in tally], dtype=float))
     belief = {tuple(r.votes): float(p) for r, p in zip(tally, posterior, strict=True)}
-    chosen = docs.where("text is not null").select("text").orderBy(F.xxhash64("text"), F.octet_length("text")).limit(SAMPLE)
+    # hashes are ordered without their texts; equal texts count once
+    hashed = docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text")
+    most = hashed.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    chosen = hashed.where(F.col("h") <= F.lit(most).cast("long")).groupBy("h").agg(F.first("text").alias("text")).select("text")
 
     def shapes(batches):
         memo = _Features()
