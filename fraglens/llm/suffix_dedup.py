@@ -5,8 +5,8 @@ windows have equal anchors at the same place, so the windows of an anchor, with
 judged among themselves. Fragments (the windows of one occurrence) of anchors that occur once are never sent. The rest
 are dealt to shards by anchor; each shard gets a suffix array by induced sorting and its permuted common prefixes, and
 a window repeats if it shares WIDTH bytes with a neighbour. Equal fragments are counted before they are dealt. Anchors
-with very many occurrences would make a shard unbounded: their windows are refined in chunks instead, each chunk by
-the bytes that all its windows share, until single windows remain.
+with very many occurrences would make a shard unbounded: their windows are first dealt to chunks, each by the bytes that all
+its windows share, and only chunks that meet again are judged.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ from fraglens.llm.suffix import permuted_lcp, suffix_array
 
 WIDTH, GRAM = 400, 32
 #: Occurrences of an anchor that a shard takes; anchors with more are refined.
-HOT = 1024
-CHUNKS = (32, 4, 1)
+HOT = 768
+CHUNKS = (32, 4)
 #: Bytes that never stand in UTF-8: between fragments, and after the last.
 BETWEEN, AFTER = 0xFF, 0xC0
 #: Bytes of text that are hashed at once.
-SLAB = 1 << 21
+SLAB = 1 << 20
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -78,33 +78,26 @@ def fragments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         at = top
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("absent", F.col("text").isNull()).withColumn("text", text).withColumn("t", F.unhex(F.md5("text")))
-
-
 def _occurrences(batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [t.encode() for t in b.column(1).to_pylist()]
-        for doc, first, n, _, key in fragments(texts):
-            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(doc)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "t", "first", "n"])
+        for doc, first, n, place, key in fragments(texts):
+            whole = (pa.array(x.astype(np.int32)) for x in (first, n, place))
+            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(doc)), *whole], ["key", "t", "first", "n", "place"])
 
 
 def _cut(batches) -> Iterator[pa.RecordBatch]:
     """The fragments that each text is asked for, with their bytes."""
     for b in batches:
-        rows: list[list] = [[] for _ in range(9)]
+        rows: list[list] = [[] for _ in range(8)]
         for t, text, copies, asked in zip(*(b.column(c).to_pylist() for c in ("t", "text", "copies", "asked")), strict=True):
             raw = text.encode()
-            wanted = {(a["key"], a["first"]): a["hot"] for a in asked}
-            for _, first, n, place, key in fragments([raw]):
-                for f, m, p, k in zip(first.tolist(), n.tolist(), place.tolist(), key.tolist(), strict=True):
-                    if (k, f) in wanted:
-                        content = raw[f : f + m + WIDTH - 1]
-                        for c, v in zip(rows, (k, xxhash.xxh3_128_digest(content), t, f, m, p, copies, wanted[k, f], content), strict=True):
-                            c.append(v)
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["key", "digest", "t", "first", "n", "place", "copies", "hot", "content"])
+            for a in asked:
+                content = raw[a["first"] : a["first"] + a["n"] + WIDTH - 1]
+                for c, v in zip(rows, (a["key"], xxhash.xxh3_128_digest(content), t, a["first"], a["place"], copies, a["hot"], content), strict=True):
+                    c.append(v)
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["key", "digest", "t", "first", "place", "copies", "hot", "content"])
 
 
 def _runs(mask: np.ndarray) -> np.ndarray:
@@ -159,29 +152,54 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     docs has t (binary, equal for equal texts) and text (no nulls) and doc_id.
     """
-    found = materialise(docs.select("t", "text").mapInArrow(_occurrences, "key long, t binary, first int, n int"))
+    found = materialise(docs.select("t", "text").mapInArrow(_occurrences, "key long, t binary, first int, n int, place int"))
     often = found.groupBy("key").count().where("count > 1").select("key", (F.col("count") > HOT).alias("hot"))
-    asked = found.join(often, "key").groupBy("t").agg(F.collect_set(F.struct("key", "first", "hot")).alias("asked"))
+    asked = found.join(often, "key").groupBy("t").agg(F.collect_set(F.struct("key", "first", "n", "place", "hot")).alias("asked"))
     texts = docs.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     source = docs.select("t", "doc_id", "text").alias("d").join(asked.join(texts, "t").alias("a"), F.expr("d.t = a.t and d.doc_id <=> a.doc_id")).select("d.t", "d.text", "a.copies", "a.asked")
-    cut = materialise(source.mapInArrow(_cut, "key long, digest binary, t binary, first int, n int, place int, copies long, hot boolean, content binary"))
+    cut = materialise(source.mapInArrow(_cut, "key long, digest binary, t binary, first int, place int, copies long, hot boolean, content binary"))
     spans = "key long, digest binary, spans array<struct<lo: int, hi: int>>"
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = cut.where("not hot").groupBy("key", "digest").agg(F.sum("copies").alias("copies"), F.max("content").alias("content"))
     judged = distinct.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_judge, spans)
     hot = cut.where("hot")
     if not hot.isEmpty():
-        left = hot.groupBy("key", "digest", "place").agg(F.sum("copies").alias("copies"), F.max("content").alias("content")).withColumn("base", F.lit(0))
-        for g in CHUNKS:
-            dealt = materialise(left.mapInArrow(_refine(g), "key long, digest binary, sub binary, place int, copies long, base int, content binary"))
-            again = dealt.groupBy("sub").agg(F.sum("copies").alias("all")).where("all > 1").select("sub")
-            left = dealt.join(again, "sub").drop("sub")
-        judged = judged.unionByName(left.groupBy("key", "digest").agg(F.collect_list(F.struct(F.col("base").alias("lo"), F.col("base").alias("hi"))).alias("spans")))
+        judged = judged.unionByName(_hot_spans(hot, n))
     members = cut.select("key", "digest", "t", "first").join(judged.where(F.size("spans") > 0), ["key", "digest"])
     moved = F.transform("spans", lambda s: F.struct((s.lo + F.col("first")).alias("lo"), (s.hi + F.col("first") + WIDTH).alias("hi")))
     return members.groupBy("t").agg(F.flatten(F.collect_list(moved)).alias("spans"))
 
 
+def _refined(left: DataFrame, g: int) -> DataFrame:
+    """The chunks of g places of hot fragments that occur more than once."""
+    dealt = materialise(left.mapInArrow(_refine(g), "key long, digest binary, sub binary, place int, copies long, base int, content binary"))
+    again = dealt.groupBy("sub").agg(F.sum("copies").alias("all")).where("all > 1").select("sub")
+    return dealt.join(again, "sub")
+
+
+def _hot_spans(hot: DataFrame, n: int) -> DataFrame:
+    """Runs of repeated windows of the fragments of very frequent anchors.
+
+    Chunks that share their core are judged by suffix arrays like any anchor; where even these are too many distinct
+    ones, single windows are counted.
+    """
+    left = hot.groupBy("key", "digest", "place").agg(F.sum("copies").alias("copies"), F.max("content").alias("content")).withColumn("base", F.lit(0))
+    for g in CHUNKS:
+        left = _refined(left.drop("sub"), g)
+    items = materialise(left.withColumn("whole", F.concat("sub", F.unhex(F.md5("content")))))
+    distinct = materialise(items.groupBy("sub", "whole").agg(F.sum("copies").alias("copies"), F.max("content").alias("content")))
+    many = distinct.groupBy("sub").count().where(F.col("count") > HOT).select("sub")
+    few = distinct.join(many, "sub", "left_anti").select(F.xxhash64("sub").alias("key"), F.col("whole").alias("digest"), "copies", "content")
+    spans = "array<struct<lo: int, hi: int>>"
+    judged = few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_judge, f"key long, digest binary, spans {spans}").where(F.size("spans") > 0)
+    moved = F.transform("spans", lambda s: F.struct((s.lo + F.col("base")).alias("lo"), (s.hi + F.col("base")).alias("hi")))
+    out = items.join(judged.select(F.col("digest").alias("whole"), "spans"), "whole").select("key", "digest", moved.alias("spans"))
+    rest = items.join(many, "sub", "left_semi").drop("sub", "whole")
+    if not rest.isEmpty():
+        out = out.unionByName(_refined(rest, 1).select("key", "digest", F.array(F.struct(F.col("base").alias("lo"), F.col("base").alias("hi"))).alias("spans")))
+    return out.groupBy("key", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
@@ -202,9 +220,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """
     tune(docs.sparkSession)
     own = [c for c in docs.columns if c != "text"]
-    keyed = _keyed(docs)
-    spans = repeated_spans(keyed.select("t", "doc_id", "text"))
-    rows = keyed.select(F.struct(*own).alias("row"), "text", "absent", "t").join(spans, "t", "left")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.struct(*own).alias("row"), F.col("text").isNull().alias("absent"), text.alias("text"), F.unhex(F.md5(text)).alias("t"))
+    spans = repeated_spans(keyed.select("t", F.col("row.doc_id").alias("doc_id"), "text"))
+    rows = keyed.join(spans, "t", "left")
 
     def run(batches):
         for b in batches:
@@ -218,6 +237,6 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["row", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    kinds = docs.select(F.struct(*own).alias("row")).schema["row"].dataType.simpleString()
+    kinds = keyed.schema["row"].dataType.simpleString()
     done = rows.select("row", "text", "absent", "spans").mapInArrow(run, f"row {kinds}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.select(*(F.col(f"row.{c}").alias(c) if c != "text" else F.col("text") for c in docs.columns), "n_bytes", "n_removed", "n_spans", "kept_sha256")
