@@ -87,17 +87,19 @@ def _occurrences(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches) -> Iterator[pa.RecordBatch]:
-    """The fragments that each text is asked for, with their bytes."""
+    """The fragments that each text is asked for, with their bytes; equal ones of a text are one row."""
     for b in batches:
         rows: list[list] = [[] for _ in range(8)]
         for t, text, copies, asked in zip(*(b.column(c).to_pylist() for c in ("t", "text", "copies", "asked")), strict=True):
             raw = text.encode()
+            equal: dict[tuple, list[int]] = {}
             for a in asked:
-                content = raw[a["first"] : a["first"] + a["n"] + WIDTH - 1]
-                for c, v in zip(rows, (a["key"], xxhash.xxh3_128_digest(content), t, a["first"], a["place"], copies, a["hot"], content), strict=True):
+                equal.setdefault((a["key"], a["place"], a["hot"], raw[a["first"] : a["first"] + a["n"] + WIDTH - 1]), []).append(a["first"])
+            for (key, place, hot, content), firsts in equal.items():
+                for c, v in zip(rows, (key, xxhash.xxh3_128_digest(content), t, firsts, place, copies * len(firsts), hot, content), strict=True):
                     c.append(v)
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["key", "digest", "t", "first", "place", "copies", "hot", "content"])
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["key", "digest", "t", "firsts", "place", "copies", "hot", "content"])
 
 
 def _runs(mask: np.ndarray) -> np.ndarray:
@@ -157,7 +159,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     asked = found.join(often, "key").groupBy("t").agg(F.collect_set(F.struct("key", "first", "n", "place", "hot")).alias("asked"))
     texts = docs.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     source = docs.select("t", "doc_id", "text").alias("d").join(asked.join(texts, "t").alias("a"), F.expr("d.t = a.t and d.doc_id <=> a.doc_id")).select("d.t", "d.text", "a.copies", "a.asked")
-    cut = materialise(source.mapInArrow(_cut, "key long, digest binary, t binary, first int, place int, copies long, hot boolean, content binary"))
+    cut = materialise(source.mapInArrow(_cut, "key long, digest binary, t binary, firsts array<int>, place int, copies long, hot boolean, content binary"))
     spans = "key long, digest binary, spans array<struct<lo: int, hi: int>>"
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = cut.where("not hot").groupBy("key", "digest").agg(F.sum("copies").alias("copies"), F.max("content").alias("content"))
@@ -165,8 +167,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     hot = cut.where("hot")
     if not hot.isEmpty():
         judged = judged.unionByName(_hot_spans(hot, n))
-    members = cut.select("key", "digest", "t", "first").join(judged.where(F.size("spans") > 0), ["key", "digest"])
-    moved = F.transform("spans", lambda s: F.struct((s.lo + F.col("first")).alias("lo"), (s.hi + F.col("first") + WIDTH).alias("hi")))
+    members = cut.select("key", "digest", "t", "firsts").join(judged.where(F.size("spans") > 0), ["key", "digest"])
+    moved = F.flatten(F.transform("firsts", lambda f: F.transform("spans", lambda s: F.struct((s.lo + f).alias("lo"), (s.hi + f + WIDTH).alias("hi")))))
     return members.groupBy("t").agg(F.flatten(F.collect_list(moved)).alias("spans"))
 
 
