@@ -19,46 +19,52 @@ from fraglens.llm.vectors import matrix, usable
 
 BLOCK, QUERIES = 4096, 1024
 SCALE = 256
-#: Parts of a list that are read in turn, and candidates that are few.
-STEPS, FEW = 8, 32
+#: Shares of the lists that are read in turn, and candidates that are few.
+DEPTHS, FEW = (0.35, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), 32
 
 
 class SortedLists:
-    """One list per dimension of the rows v."""
+    """One list per dimension of the rows v, as each value's place in it."""
 
     def __init__(self, v: np.ndarray):
         self.v = v
-        order = np.argsort(v, axis=0, kind="stable").T
-        self.up = np.ascontiguousarray(order)
-        self.values = np.take_along_axis(v.T, self.up, axis=1)
-        self.norm2 = (v * v).sum(axis=1)
+        n = len(v)
+        order = np.argsort(v, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(v, order, axis=0)
+        self.place = np.empty(v.shape, dtype=np.int16 if n < 2**15 else np.int32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=self.place.dtype)[:, None], axis=0)
+        kind = np.float32 if np.abs(v).max(initial=0) < 1e9 else np.float64
+        self.short, self.short2 = v.astype(kind), (v * v).astype(kind)
+        self.norm = np.sqrt((v * v).sum(axis=1).max(initial=0))
 
     def best(self, q: np.ndarray, k: int, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) that hold the best k of the allowed rows, ties included."""
-        n, dims = self.v.shape
+        """(rows, scores) that hold the best k of the allowed rows, ties included.
+
+        A list is read from its end if q is positive there, from its start otherwise; only what has been read enters a
+        row's sum, and only the last value read and the norm that is left bound the rest.
+        """
+        n, kind = len(self.v), self.short.dtype
         back = q > 0
-        acc, left2 = np.zeros(n), self.norm2.copy()
-        unseen = np.ones((n, dims), dtype=np.float32)
-        worst = np.where(back, self.values[:, 0], self.values[:, -1]) * q
+        short_q, short_q2 = q.astype(kind), (q * q).astype(kind)
+        slack = 1 + 1e-5 * self.norm * np.sqrt((q * q).sum())  # rounding of the short sums
         live = np.arange(n) if allowed is None else np.flatnonzero(allowed)
-        step = max(1, -(-n // STEPS))
-        for at in range(0, n, step):
-            top = min(n, at + step)
-            rows = np.where(back[:, None], self.up[:, n - top : n - at], self.up[:, at:top])
-            vals = np.where(back[:, None], self.values[:, n - top : n - at], self.values[:, at:top])
-            flat = rows.ravel()
-            acc += np.bincount(flat, weights=(vals * q[:, None]).ravel(), minlength=n)
-            left2 -= np.bincount(flat, weights=(vals * vals).ravel(), minlength=n)
-            unseen[flat, np.repeat(np.arange(dims), top - at)] = 0
+        worst = (np.where(back, self.sorted[0], self.sorted[-1]) * q).astype(kind)
+        for depth in DEPTHS:
             if len(live) <= k + FEW:
                 break
-            last = np.where(back, self.values[:, n - top], self.values[:, top - 1]) * q
-            u = unseen[live].astype(np.float64)
-            rest = np.sqrt(np.maximum(left2[live], 0) * (u @ (q * q))) * (1 + 1e-9) + 1e-3
-            upper = acc[live] + np.minimum(rest, u @ last)
-            lower = acc[live] + np.maximum(-rest, u @ worst)
+            top = max(1, int(n * depth))
+            # places lo <= place < hi are read
+            lo = np.where(back, n - top, 0).astype(self.place.dtype)
+            hi = np.where(back, n - 1, top - 1).astype(self.place.dtype)
+            place, short, short2 = (self.place, self.short, self.short2) if len(live) == n else (self.place[live], self.short[live], self.short2[live])
+            unread = ((place < lo) | (place > hi)).astype(kind)
+            acc = (short * (1 - unread)) @ short_q
+            last = (np.where(back, self.sorted[n - top], self.sorted[top - 1]) * q).astype(kind)
+            rest = np.sqrt((short2 * unread).sum(axis=1) * (unread @ short_q2))
+            upper = acc + np.minimum(rest, unread @ last)
+            lower = acc + np.maximum(-rest, unread @ worst)
             theta = np.partition(lower, len(lower) - k)[len(lower) - k]
-            live = live[upper >= theta - 1e-3]
+            live = live[upper >= theta - 2 * slack]
         return live, self.v[live] @ q
 
 
