@@ -1,10 +1,11 @@
 """Near-duplicate embeddings by product quantisation.
 
 Unit vectors are listed by their nearest coarse centroid, and what remains is coded by a small codebook for each
-subspace. A vector visits every list in which a neighbour may be: by the plane between two centroids, a neighbour
-within a distance r can only be listed elsewhere if the plane is no further away than r. There, distances come from
-table lookups on the codes; with each code's own error they bound the true distance, so that no neighbour is passed
-over. What is left is judged by the exact cosine.
+subspace. A vector visits the lists in which a neighbour may be: a neighbour at distance r can only be listed elsewhere
+if, along the line between the two centroids, it moves at least as far as the plane halfway between them. A move of
+length r has a part of about r / sqrt(dimensions) along a given line; lists whose plane is within REACH * r, several
+times that, are visited. There, distances come from table lookups on the codes; with each code's own error they bound
+the true distance, so that no neighbour in a visited list is passed over. The exact cosine judges what is left.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from fraglens.llm.vectors import matrix, usable
 
 #: Rows that the index is fitted on (those with the smallest hashes), lists, subspaces and codes.
 SAMPLE, MOST_LISTS, SUBSPACES, CODES = 32768, 4096, 16, 256
+#: Share of the linking distance within which a plane is visited; 1 would leave nothing out, whatever the data.
+REACH = 0.35
 #: Members and visitors of a list that meet at once.
 BLOCK = 1024
 
@@ -69,7 +72,7 @@ class Index:
         """For each vector and list, whether a neighbour within the radius may be listed there."""
         d2 = (self.coarse**2).sum(axis=1) - 2 * u @ self.coarse.T
         own = d2[np.arange(len(u)), home]
-        return d2 - own[:, None] <= 2 * (self.radius + 1e-9) * self.between[home]
+        return d2 - own[:, None] <= 2 * (REACH * self.radius + 1e-9) * self.between[home]
 
     def lookup(self, u: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Distances of vectors to the coded members of a list, by tables."""
@@ -88,7 +91,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     rows linked directly, component_id is the smallest vec_id reachable (itself included), kept says whether that is
     the row's own. Null or zero vectors, those with null or non-finite components or of a rare length link with
     nothing. Rows that share a vec_id are one node of the components. Equal vectors are compared once and counted.
-    The index is fitted on at most SAMPLE rows and holds every row; its bounds leave nothing out.
+    The index is fitted on at most SAMPLE rows and holds every row; see REACH for what it may leave out.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)

@@ -11,7 +11,7 @@ from fraglens.llm.common import materialise, tune
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """rid, vec_id, raw (float64 bytes) of rows with finite components, of the most frequent length.
+    """rid, vec_id, raw (the numbers as bytes, see matrix()) of rows with finite components, of the most frequent length.
 
     Null vectors, those with null or non-finite components, of length 0 or of a rarer length, and rows with a null
     vec_id take no part. rid tells rows apart that repeat.
@@ -21,15 +21,18 @@ def usable(vectors: DataFrame) -> DataFrame:
     usual = rows.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     rows = rows.where(F.size("e") == (usual[0].n if usual else 0))
 
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+
     def run(batches):
         for b in batches:
-            e = b.column("e").flatten().to_numpy().astype("<f8", copy=False).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("vec_id"), pa.array([v.tobytes() for v in e], pa.binary())], ["rid", "vec_id", "raw"])
+            e = b.column("e").flatten().to_numpy().astype(kind).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("vec_id"), pa.array([kind[-1:].encode() + v.tobytes() for v in e], pa.binary())], ["rid", "vec_id", "raw"])
 
     return materialise(rows.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "e").mapInArrow(run, "rid long, vec_id long, raw binary"))
 
 
 def matrix(column) -> np.ndarray:
-    """The rows of a raw column."""
+    """The rows of a raw column in double precision: a byte for the width of a number, then the numbers."""
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), dtype="<f8").reshape(len(values), -1)
+    kind = "<f" + (values[0][:1].decode() if values else "8")
+    return np.frombuffer(b"".join(v[1:] for v in values), dtype=kind).reshape(len(values), -1).astype(np.float64)
