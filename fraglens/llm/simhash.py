@@ -4,6 +4,7 @@ Bits that go together are grouped into partitions. Fingerprints within tau bits
 on some partition i whenever the sum of (t_i + 1) is tau + 1; the t_i (-1: never probed) are allocated by dynamic
 programming on candidate counts that are estimated from the histograms of all fingerprints. Each fingerprint is
 dealt to the cells of its partition values (and those within t_i bits), and what meets in a cell is verified there.
+near_copies() goes by the Jaccard similarity of shingles instead, with candidates from a prefix filter.
 """
 
 from __future__ import annotations
@@ -276,59 +277,179 @@ def simhash_components(docs: DataFrame, width: int = 3, tau: int = 3) -> DataFra
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tau: int = 6, loose: int = 22) -> DataFrame:
+#: Documents whose shingles are counted to put common ones last; only the order depends on it, never the result.
+ORDER_DOCS, COMMON = 8192, 65536
+#: Pairs of a prefix shingle, per row, that are all verified at once; while there are more, chains are verified first.
+PAIRS_PER_ROW, CHAINS = 16, 6
+SPOTS = 1024
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(32))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes; a text without words has one of its own."""
+    words = words_of(text or "")
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    n = max(1, len(w) - width + 1)
+    h = np.full(n, len(w) if len(w) < width else width, dtype=np.uint64)
+    for k in range(min(width, len(w))):
+        h = (h ^ (h >> _MIX[2])) * _MIX[0] + w[k : k + n]
+        h = (h ^ (h >> _MIX[3])) * _MIX[1]
+    return np.unique(h ^ (h >> _MIX[2])).view(np.int64)
+
+
+def prefix(have: np.ndarray, common: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of which sets of at least this Jaccard similarity share one: the first in a fixed order, rare ones first."""
+    rank = np.zeros(len(have), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, have), len(common) - 1)
+        rank = np.where(common[at] == have, often[at], 0)
+    return have[np.lexsort((have, rank))][: len(have) - int(np.ceil(similarity * len(have) - 1e-9)) + 1]
+
+
+def _bitmap(have: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls on each of SPOTS spots: two sets differ by at least as many shingles as spots."""
+    return np.packbits(np.bincount(have & (SPOTS - 1), minlength=SPOTS) & 1).tobytes()
+
+
+def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ORDER_DOCS documents have (sorted), and how many of them have each."""
+    part = max(1, docs.count() // ORDER_DOCS)
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width))], ["h"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).select("text").mapInArrow(run, "h long")
+    top = sample.groupBy("h").count().where("count > 3").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h, n = top.column("h").to_numpy(), top.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _cell_pairs(x: dict[str, np.ndarray], similarity: float, chain: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a cell with different labels whose sizes allow the similarity: all, or those next to each other.
+
+    Chain 0 goes by size, others by an order of their own.
+    """
+    if chain is not None:
+        mixed = x["size"] if chain == 0 else (x["node"].astype(np.uint64) * _MIX[0] + np.uint64(chain)) * _MIX[1] >> _MIX[2]
+        order = np.lexsort((x["node"], mixed, x["token"]))
+        x = {k: v[order] for k, v in x.items()}
+    cuts = bounds(x["token"])
+    end = np.repeat(cuts[1:], np.diff(cuts))
+    at, step = np.arange(len(end)), 1
+    while chain is None or step == 1:
+        at = at[at + step < end[at]]
+        if not len(at):
+            break
+        a, b = x["size"][at], x["size"][at + step]
+        ok = at[(x["label"][at] != x["label"][at + step]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)]
+        if len(ok):
+            u, v = x["node"][ok], x["node"][ok + step]
+            yield np.minimum(u, v), np.maximum(u, v)
+        step += 1
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, root) of docs (doc_id, text) in a group of near copies of more than one text; doc_id is unique.
 
-    Candidates have SimHash fingerprints of their distinct words that meet in a cell (tau bits at least are
-    guaranteed) and fingerprints of their shingles within `loose` bits. In each cell the pairs with the closest
-    shingle fingerprints that still join two groups are kept, so a group of n copies gives about n pairs; these are
-    verified by the Jaccard similarity of their sets of `width`-word shingles. Equal texts count as one.
+    Texts link when the Jaccard similarity of their sets of `width`-word shingles is at least `similarity`. Sets this
+    similar share a shingle among the first n - ceil(similarity * n) + 1 of each one's n in any fixed order, so pairs
+    that share none there can be left out without loss, and so can those whose bitmaps differ too much. Pairs are verified in rounds: neighbours in each shingle's list first,
+    so that a group of n copies takes about n pairs, and at the end every pair between texts still apart. Equal texts
+    count as one, and so do texts without words.
     """
-    tune(docs.sparkSession)
+    spark = docs.sparkSession
+    tune(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    order = spark.sparkContext.broadcast(_common(docs, width))
 
-    def prints(batches):
+    def prefixes(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
             for at in range(0, len(texts), 100):
-                words = [words_of(t or "") for t in texts[at : at + 100]]
-                coarse = _votes([list(set(w)) for w in words])
-                fine = _votes([shingles(w, width) for w in words])
-                whole = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts[at : at + 100]]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 100), pa.array(coarse.view(np.int64)), pa.array(fine.view(np.int64)), pa.array(whole, pa.binary())], ["node", "fp", "fine", "whole"])
+                sets = [shingle_set(t, width) for t in texts[at : at + 100]]
+                first = pa.array([prefix(s, *order.value, similarity) for s in sets], pa.list_(pa.int64()))
+                whole = pa.array([xxhash.xxh3_128_digest((t or "").encode()) for t in texts[at : at + 100]], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 100), whole, pa.array([len(s) for s in sets], pa.int32()), pa.array(map(_bitmap, sets), pa.binary()), first], ["node", "whole", "size", "bitmap", "first"])
+
+    own = materialise(docs.mapInArrow(prefixes, "node long, whole binary, size int, bitmap binary, first array<long>"))
+    texts = materialise(own.groupBy("whole").agg(F.min("node").alias("v")))
+    copies = materialise(own.select("node", "whole").join(texts, "whole").select(F.col("node").alias("u"), "v").where("u <> v"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def shared(batches):
+        for table in whole_groups(batches, ["token"], rows=1 << 16):
+            token = table.column("token").to_numpy()
+            more = np.repeat(np.diff(bounds(token)) > 1, np.diff(bounds(token)))
+            yield from table.filter(pa.array(more)).combine_chunks().to_batches()
+
+    tokens = own.join(texts.select(F.col("v").alias("node")), "node", "left_semi").select(F.explode("first").alias("token"), "node", "size")
+    cells = materialise(tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(shared, "token long, node long, size int"))
+    nodes = cells.select("node").distinct()
+    bitmaps = materialise(own.select("node", "size", "bitmap").join(nodes, "node", "left_semi"))
+    discard(own)
 
-    own = materialise(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(prints, "node long, fp long, fine long, whole binary"))
-    texts = own.groupBy("whole").agg(F.min("node").alias("node"), F.first("fp").alias("fp"), F.first("fine").alias("fine"))
-    copies = own.join(texts.select("whole", F.col("node").alias("v")), "whole").select(F.col("node").alias("u"), "v").where("u <> v")
-    nodes = materialise(texts.select("node", "fp", "fine"))
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """The texts of the pairs' ends, and others by chance, without moving those of all documents."""
+        spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20))
+        asked = pairs.select(spot("u").alias("s")).union(pairs.select(spot("v"))).distinct().toArrow()  # at most 2^20 rows
+        mask = np.zeros(1 << 20, dtype=bool)
+        mask[asked.column("s").to_numpy()] = True
+        known = spark.sparkContext.broadcast(mask)
 
-    def link(x):
-        a, b = close_pairs(x["cell"], x["probe"], (x["fp"], 16), (x["fine"], loose))
-        used, index = np.unique(x["node"][np.concatenate([a, b])], return_inverse=True)
-        i, j = index[: len(a)], index[len(a) :]
-        near = np.bitwise_count(x["fine"][a] ^ x["fine"][b])
-        root, kept = np.arange(len(used)), []
-        for d in range(loose + 1):
-            at = np.flatnonzero((near == d) & (root[i] != root[j]))
-            if len(at):
-                joins = np.unique(np.sort(np.stack([root[i[at]], root[j[at]]], axis=1), axis=1), axis=0, return_index=True)[1]
-                at = at[joins]
-                kept.append(at)
-                root = forest(np.concatenate([np.arange(len(used)), i[at]]), np.concatenate([root, j[at]]), len(used))
-        at = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
-        u, v = used[i[at]], used[j[at]]
-        return np.minimum(u, v), np.maximum(u, v)
-
-    pairs = _in_cells(deal(nodes, thresholds(nodes, tau)), ["fp", "fine", "node"], link).where("u <> v").distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
-    both = materialise(pairs).join(text.select(F.col("id").alias("u"), F.col("t").alias("a")), "u").join(text.select(F.col("id").alias("v"), F.col("t").alias("b")), "v")
+        def run(batches):
+            for b in batches:
+                yield b.select(["doc_id", "text"]).filter(pa.array(known.value[b.column("s").to_numpy()]))
+
+        return docs.select("doc_id", "text", spot("doc_id").alias("s")).mapInArrow(run, docs.schema)
 
     def verify(batches):
         for batch in batches:
-            a, b = ([set(shingles(words_of(t or ""), width)) for t in batch.column(k).to_pylist()] for k in ("a", "b"))
-            keep = [len(x & y) >= similarity * len(x | y) for x, y in zip(a, b, strict=True)]
+            keep = []
+            for texts in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = (set(shingles(words_of(t or ""), width)) for t in texts)
+                keep.append(len(x & y) >= similarity * len(x | y))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    edges = both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
-    roots = connected_components(edges.unionByName(copies))
-    discard(own)
+    def alike(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("a", "b"))
+            most = (1 - similarity) / (1 + similarity) * (batch.column("m").to_numpy() + batch.column("n").to_numpy())
+            yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most + 1e-9))
+
+    def proposed(left: DataFrame, chain: int | None) -> DataFrame:
+        def run(batches):
+            for table in whole_groups(batches, ["token"]):
+                x = {c: table.column(c).to_numpy() for c in ("token", "node", "size", "label")}
+                for u, v in _cell_pairs(x, similarity, chain):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        return left.repartition(n, "token").sortWithinPartitions("token").mapInArrow(run, "u long, v long").distinct()
+
+    left = cells.withColumn("label", F.col("node"))
+    linked = tried = spark.createDataFrame([], "u long, v long")
+    for chain in [*range(CHAINS), None]:
+        if chain:
+            per = left.groupBy("token", "label").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
+            size = per.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") - F.col("own")).alias("pairs")).first()
+            if (size.pairs or 0) <= 2 * PAIRS_PER_ROW * (size.n or 0):
+                chain = None
+        pairs = materialise(proposed(left, chain).join(tried, ["u", "v"], "left_anti"))
+        drawn = pairs.join(bitmaps.toDF("u", "m", "a"), "u").join(bitmaps.toDF("v", "n", "b"), "v").select("u", "v", "m", "n", "a", "b")
+        likely = materialise(drawn.mapInArrow(alike, "u long, v long"))
+        text = texts_of(likely)
+        both = likely.join(text.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(text.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+        linked = linked.unionByName(materialise(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")))
+        if chain is None:
+            break
+        tried = tried.unionByName(pairs)
+        labels = connected_components(linked)
+        labelled = cells.join(labels, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("label"))
+        apart = labelled.groupBy("token").agg((F.min("label") < F.max("label")).alias("apart")).where("apart").select("token")
+        left = materialise(labelled.join(apart, "token", "left_semi"))
+    roots = connected_components(linked.unionByName(copies))
+    discard(cells)
+    discard(bitmaps)
     return roots

@@ -123,6 +123,37 @@ def test_near_copies(docs):
     assert root[70] == 43 and root[44] == 5 and root[60] == 7 and 10 not in root
 
 
+def _linked(texts, width=5):
+    """The smallest index reachable from each text over pairs of Jaccard similarity 0.8."""
+    sets = [{tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return {i: x for i, x in enumerate(root) if i != x}
+
+
+def test_near_copies_by_kind_of_edit(spark):
+    from fraglens.llm.simhash import near_copies
+
+    rng = random.Random(11)
+    texts = []
+    for k in range(120):
+        words = _text(rng, rng.randrange(150, 400)).split()
+        n = len(words)
+        some = words[:]
+        for i in rng.sample(range(n), n * 2 // 100):
+            some[i] = "changed"
+        copy = (words + _text(rng, n // 5).split(), words[: n - n * 15 // 100], words + _text(rng, n // 10).split(), some)[k % 4]
+        texts += [" ".join(words), " ".join(copy)]
+    want = _linked(texts)
+    assert len(want) > 90
+    got = near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.node: r.root for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("hot", [1, 512])
 def test_repeats(spark, docs, rows, none, monkeypatch, hot):
     from fraglens.llm import suffix_dedup
