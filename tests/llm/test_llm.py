@@ -154,6 +154,28 @@ def test_near_copies_by_kind_of_edit(spark):
     assert {r.node: r.root for r in got.collect()} == want
 
 
+def test_near_copies_in_groups_of_variants(spark, monkeypatch):
+    from fraglens.llm import simhash
+
+    rng = random.Random(12)
+    texts = []
+    for k in range(8):
+        n = 180 + 10 * k
+        words = _text(rng, n).split()
+        for _ in range(25):
+            own = words[:]
+            for i in rng.sample(range(n), 3):
+                own[i] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    want = _linked(texts)
+    assert 20 < len(want) < 192
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.node: r.root for r in simhash.near_copies(docs).collect()} == want
+    monkeypatch.setattr(simhash, "PAIRS_PER_ROW", 0)  # all chains first
+    monkeypatch.setattr(simhash, "CHAINS", 2)
+    assert {r.node: r.root for r in simhash.near_copies(docs).collect()} == want
+
+
 @pytest.mark.parametrize("hot", [1, 512])
 def test_repeats(spark, docs, rows, none, monkeypatch, hot):
     from fraglens.llm import suffix_dedup
