@@ -99,7 +99,7 @@ _SHAPES = ((re.compile(r"[^\W\d_]+"), lambda m: ("A" if m[0].isupper() and len(m
 def shape(word: str) -> str:
     """Letters as a, Aa or A, numbers as 0, repeated signs twice."""
     for pattern, to in _SHAPES:
-        word = pattern.sub(to, word[:200])
+        word = pattern.sub(to, word)
     return word
 
 
@@ -125,16 +125,17 @@ def features(text: str, memo: _Features) -> np.ndarray:
     return got
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of a penalised logistic model on shares of features, by Adam on the whole sample."""
+def train(rows: list[np.ndarray], counts: list[np.ndarray], target: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias of a penalised logistic model on shares of features, by Adam on the whole sample.
+
+    rows: the distinct features of each document, counts: how often each occurs in it.
+    """
     w, b = np.zeros(FEATURES), 0.0
     if not len(rows):
         return w, 0.0
-    size = np.array([len(r) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), size)
-    flat = np.concatenate(rows)
-    key, count = np.unique(doc * FEATURES + flat, return_counts=True)
-    doc, col = key // FEATURES, key % FEATURES
+    size = np.array([c.sum() for c in counts])
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col, count = np.concatenate(rows).astype(np.int64), np.concatenate(counts)
     value = np.sqrt(count / size[doc])
     m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -178,10 +179,12 @@ def score_quality(docs: DataFrame) -> DataFrame:
         memo = _Features()
         for b in batches:
             texts = [t for t in b.column(0).to_pylist() if t.split()]
-            yield pa.RecordBatch.from_arrays([pa.array([features(t, memo)[:4096].astype(np.int16) for t in texts], pa.list_(pa.int16())), pa.array([belief[votes(t)] for t in texts], pa.float64())], ["f", "y"])
+            pairs = [np.unique(features(t, memo), return_counts=True) for t in texts]
+            f, n = pa.array([f.astype(np.int16) for f, _ in pairs], pa.list_(pa.int16())), pa.array([n.astype(np.int32) for _, n in pairs], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([f, n, pa.array([belief[votes(t)] for t in texts], pa.float64())], ["f", "n", "y"])
 
-    sample = chosen.mapInArrow(shapes, "f array<smallint>, y double").toArrow()
-    w, bias = train([np.asarray(x, dtype=np.int64) for x in sample.column("f").to_numpy()], sample.column("y").to_numpy())
+    sample = chosen.mapInArrow(shapes, "f array<smallint>, n array<int>, y double").toArrow()  # at most FEATURES pairs a document
+    w, bias = train(list(sample.column("f").to_numpy()), list(sample.column("n").to_numpy()), sample.column("y").to_numpy())
     own = [c for c in docs.columns if c != "text"]
 
     def run(batches):

@@ -307,6 +307,20 @@ def test_quality(spark, none):
     assert 0 < bad < 0.5 and posterior[0] > posterior[1]
 
 
+def test_quality_is_trained_on_whole_texts(spark, monkeypatch):
+    from fraglens.llm import quality
+
+    rng = random.Random(4)
+    text = " ".join(["plain"] * 2 + [rng.choice(WORDS) for _ in range(5000)] + ["%%%"] * 300)
+    seen = {}
+    monkeypatch.setattr(quality, "train", lambda *a: seen.update(a=a) or (np.zeros(quality.FEATURES), 0.0))
+    assert quality.score_quality(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).count() == 2
+    want = np.bincount(quality.features(text, quality._Features()), minlength=quality.FEATURES)
+    (got,), (counts,), _ = seen["a"]
+    assert dict(zip(got.tolist(), counts.tolist(), strict=True)) == {i: int(n) for i, n in enumerate(want) if n}
+    assert quality.shape("a" * 250 + "1") == "a+0"
+
+
 def test_packing(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
