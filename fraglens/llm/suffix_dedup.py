@@ -31,6 +31,9 @@ CHUNKS = (32, 4)
 BETWEEN, AFTER = 0xFF, 0xC0
 #: Bytes of text that are hashed at once.
 SLAB = 1 << 20
+#: Words of an anchor of a passage.
+ANCHOR_WORDS = 8
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -202,6 +205,79 @@ def _hot_spans(hot: DataFrame, n: int) -> DataFrame:
     return out.groupBy("key", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
+def passages(text: str, words: int) -> tuple[np.ndarray, ...]:
+    """(first byte, byte after, hash, anchor's place) of each run of `words` words, and the hashes of anchors.
+
+    A run's anchor is the one of ANCHOR_WORDS words in it with the smallest hash (the leftmost of equals), so equal runs
+    have equal anchors at the same place.
+    """
+    raw = text.encode()
+    solid = ~_SPACE[np.frombuffer(raw, dtype=np.uint8)]
+    edge = np.diff(np.concatenate([[0], solid.astype(np.int8), [0]]))
+    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    n = len(lo)
+    if n < words:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, raw.split()), dtype=np.uint64, count=n)
+
+    def runs(k: int) -> np.ndarray:
+        h = np.zeros(n - k + 1, dtype=np.uint64)
+        for i in range(k):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w[i : n - k + 1 + i]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+    short = min(ANCHOR_WORDS, words)
+    h = runs(short)
+    place = np.lib.stride_tricks.sliding_window_view(h, words - short + 1).argmin(axis=1) + np.arange(n - words + 1)
+    return lo[: n - words + 1], hi[words - 1 :], runs(words).view(np.int64), place, h.view(np.int64)
+
+
+def passage_spans(docs: DataFrame, words: int) -> DataFrame:
+    """(t, spans): the byte runs of each distinct text that are `words` words which stand anywhere else too, unmerged.
+
+    docs as for repeated_spans. Words are told apart by bytes, and what stands between them doesn't matter. Runs whose
+    anchor stands in one place only are never sent; the rest are counted by a 64-bit hash, so frequent ones cost no more.
+    """
+
+    def anchors(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            owner, keys, times = [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                _, _, _, place, h = passages(text, words)
+                key, n = np.unique(h[np.unique(place)], return_counts=True)
+                keys.append(key)
+                times.append(n)
+                owner.append(np.full(len(key), i, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(times))], ["t", "key", "times"])
+
+    def asked_runs(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[list] = [[] for _ in range(4)]
+            for t, text, copies, asked in zip(*(b.column(c).to_pylist() for c in ("t", "text", "copies", "asked")), strict=True):
+                lo, hi, run, place, h = passages(text, words)
+                own = np.flatnonzero(np.isin(h[place], np.array(asked, dtype=np.int64)))
+                own = own[np.argsort(run[own], kind="stable")]
+                cuts = bounds(run[own])
+                for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    at = own[a:z]
+                    for c, v in zip(rows, (int(run[at[0]]), t, copies * len(at), [{"lo": x, "hi": y} for x, y in zip(lo[at].tolist(), hi[at].tolist(), strict=True)]), strict=True):
+                        c.append(v)
+            types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["run", "t", "n", "spans"])
+
+    found = materialise(docs.select("t", "text").mapInArrow(anchors, "t binary, key long, times long"))
+    often = found.groupBy("key").agg(F.sum("times").alias("times")).where("times > 1").select("key")
+    asked = found.join(often, "key", "left_semi").groupBy("t").agg(F.collect_set("key").alias("asked"))
+    texts = docs.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    source = docs.select("t", "doc_id", "text").alias("d").join(asked.join(texts, "t").alias("a"), F.expr("d.t = a.t and d.doc_id <=> a.doc_id")).select("d.t", "d.text", "a.copies", "a.asked")
+    runs = materialise(source.mapInArrow(asked_runs, "run long, t binary, n long, spans array<struct<lo: int, hi: int>>"))
+    again = runs.groupBy("run").agg(F.sum("n").alias("n")).where("n > 1").select("run")
+    return runs.join(again, "run", "left_semi").groupBy("t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
@@ -212,11 +288,12 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
+def cut_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
     """docs (doc_id, text and more) with text cut, and n_bytes, n_removed, n_spans, kept_sha256.
 
     Each byte that a WIDTH-byte string covers which also starts anywhere else, in the same text or another, is
-    removed; strings are judged on the input, and none crosses texts. A null text counts as empty and stays null. The
+    removed; so is each passage of `words` words, if given, that stands anywhere else, however few its bytes. Strings
+    are judged on the input, and none crosses texts. A null text counts as empty and stays null. The
     text returned is what remains, without the parts of characters that a cut leaves; kept_sha256 is of the remaining
     bytes. Repeated rows are copies of each other; shorter texts stay whole; extra columns are kept.
     """
@@ -224,7 +301,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     own = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.struct(*own).alias("row"), F.col("text").isNull().alias("absent"), text.alias("text"), F.unhex(F.md5(text)).alias("t"))
-    spans = repeated_spans(keyed.select("t", F.col("row.doc_id").alias("doc_id"), "text"))
+    plain = keyed.select("t", F.col("row.doc_id").alias("doc_id"), "text")
+    spans = repeated_spans(plain)
+    if words is not None:
+        spans = spans.unionByName(passage_spans(plain, words)).groupBy("t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     rows = keyed.join(spans, "t", "left")
 
     def run(batches):

@@ -202,6 +202,19 @@ def test_repeats(spark, docs, rows, none, monkeypatch, hot):
     assert suffix_dedup.cut_repeats(none).count() == 0
 
 
+def test_repeated_passages_of_few_bytes(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"{rng.choice('abcd')}{rng.randrange(10**4)}" for _ in range(n))
+    long, short, twice = " ".join(rng.choice("abcdefghij") for _ in range(51)), fresh(50), fresh(51)
+    texts = [f"{fresh(9)} {long} {fresh(70)}", f"{fresh(80)} {long}\n{fresh(3)}", f"{short} {fresh(60)}", f"{fresh(60)} {short}", f"{twice} {fresh(5)} {twice} end", fresh(200), None, "", long[:-2]]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, df, "").collect()}
+    want = [t and t.replace(long, "").replace(twice, "") for t in texts]
+    assert len(long) < 120 and got == dict(enumerate(want))
+
+
 def test_suffix_array():
     from fraglens.llm import suffix
 
