@@ -176,6 +176,17 @@ def test_near_copies_in_groups_of_variants(spark, monkeypatch):
     assert {r.node: r.root for r in simhash.near_copies(docs).collect()} == want
 
 
+def test_near_dedup_of_repeated_and_missing_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    a, b, c = (_text(rng, 60) for _ in range(3))
+    ids = [(5, a), (5, a), (5, b), (None, b), (None, c), (None, c), (3, f"{a} more"), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in ids], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([(3, f"{a} more"), (5, b), (None, c), (None, None)], key=str)
+
+
 @pytest.mark.parametrize("hot", [1, 512])
 def test_repeats(spark, docs, rows, none, monkeypatch, hot):
     from fraglens.llm import suffix_dedup
