@@ -1,11 +1,11 @@
 """Near-duplicate embeddings by product quantisation.
 
 Unit vectors are listed by their nearest coarse centroid, and what remains is coded by a small codebook for each
-subspace. A vector visits the lists in which a neighbour may be: a neighbour at distance r can only be listed elsewhere
-if, along the line between the two centroids, it moves at least as far as the plane halfway between them. A move of
-length r has a part of about r / sqrt(dimensions) along a given line; lists whose plane is within REACH * r, several
-times that, are visited. There, distances come from table lookups on the codes; with each code's own error they bound
-the true distance, so that no neighbour in a visited list is passed over. The exact cosine judges what is left.
+subspace. A vector visits every list in which a neighbour may be: by the plane between two centroids, a neighbour
+within a distance r can only be listed elsewhere if the plane is no further away than r. There, distances come from
+table lookups on the codes; with each code's own error they bound the true distance, so that no neighbour is passed
+over. What is left is judged by the exact cosine. Since both of a pair visit each other's list, only visits to later
+lists are made, and lists are dealt in groups: a vector is sent once to a group in which it visits any list.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from fraglens.llm.vectors import matrix, usable
 
 #: Rows that the index is fitted on (those with the smallest hashes), lists, subspaces and codes.
 SAMPLE, MOST_LISTS, SUBSPACES, CODES = 32768, 4096, 16, 256
-#: Share of the linking distance within which a plane is visited; 1 would leave nothing out, whatever the data.
-REACH = 0.35
-#: Members and visitors of a list that meet at once.
-BLOCK = 1024
+#: Members and visitors of a group of lists that meet at once.
+BLOCK = 8192
+#: Distances that are looked up at once.
+LOOKUPS = 1 << 20
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -72,7 +72,7 @@ class Index:
         """For each vector and list, whether a neighbour within the radius may be listed there."""
         d2 = (self.coarse**2).sum(axis=1) - 2 * u @ self.coarse.T
         own = d2[np.arange(len(u)), home]
-        return d2 - own[:, None] <= 2 * (REACH * self.radius + 1e-9) * self.between[home]
+        return d2 - own[:, None] <= 2 * (self.radius + 1e-6) * self.between[home]
 
     def lookup(self, u: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Distances of vectors to the coded members of a list, by tables."""
@@ -91,7 +91,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     rows linked directly, component_id is the smallest vec_id reachable (itself included), kept says whether that is
     the row's own. Null or zero vectors, those with null or non-finite components or of a rare length link with
     nothing. Rows that share a vec_id are one node of the components. Equal vectors are compared once and counted.
-    The index is fitted on at most SAMPLE rows and holds every row; see REACH for what it may leave out.
+    The index is fitted on at most SAMPLE rows and holds every row; its bounds leave nothing out.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -109,6 +109,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     radius = float(np.sqrt(2 - 2 * cosine))
     lists = int(min(MOST_LISTS, max(1, round(total**0.5))))
+    span = -(-lists // -(-total // BLOCK))  # lists in a group
     shared = spark.sparkContext.broadcast(Index(_unit(matrix(sample)), lists, radius))
 
     def encode(batches):
@@ -116,25 +117,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         for b in batches:
             u = _unit(matrix(b.column("raw")))
             home, codes, error = index.encode(u)
-            visits = [np.flatnonzero(p).astype(np.int32) for p in index.probes(u, home)]
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("node"), b.column("n"), b.column("raw"), pa.array(home.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(visits, pa.list_(pa.int32()))], ["cid", "node", "n", "raw", "home", "codes", "error", "visits"])
-
-    coded = materialise(classes.select("cid", "node", "n", "raw").mapInArrow(encode, "cid long, node long, n long, raw binary, home int, codes binary, error double, visits array<int>"))
-    members = coded.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("mbs"))
+            group = home // span
+            go = index.probes(u, home) & (np.arange(len(index.coarse)) >= home[:, None])
+            go = np.logical_or.reduceat(go, np.arange(0, len(index.coarse), span), axis=1)
+            visits = [np.flatnonzero(p).astype(np.int32) for p in go]
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("node"), b.column("n"), b.column("raw"), pa.array(group.astype(np.int32)), pa.array(home.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(visits, pa.list_(pa.int32()))], ["cid", "node", "n", "raw", "group", "home", "codes", "error", "visits"])
+
+    coded = materialise(classes.select("cid", "node", "n", "raw").mapInArrow(encode, "cid long, node long, n long, raw binary, group int, home int, codes binary, error double, visits array<int>"))
+    members = coded.groupBy(F.col("group").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("mbs"))
     visitors = coded.select(F.explode("visits").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vbs"))
-    size = F.broadcast(members.join(visitors, "list"))  # at most MOST_LISTS rows
+    size = F.broadcast(members.join(visitors, "list"))  # at most MOST_LISTS rows: groups of lists
     blocks = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    column = ["list", "mb", "vb", "visits_here", "cid", "node", "n", "raw", "home", "codes", "error", "visits"]
-    listed = coded.withColumn("list", F.col("home")).join(size, "list").withColumns({"mb": blocks("mbs"), "visits_here": F.lit(False)}).withColumn("vb", all_of("vbs")).select(column)
-    visiting = coded.withColumn("list", F.explode("visits")).join(size, "list").withColumns({"vb": blocks("vbs"), "visits_here": F.lit(True), "visits": F.array().cast("array<int>"), "codes": F.lit(b"")}).withColumn("mb", all_of("mbs")).select(column)
+    column = ["list", "mb", "vb", "visits_here", "cid", "node", "n", "raw", "home", "codes", "error"]
+    listed = coded.withColumn("list", F.col("group")).join(size, "list").withColumns({"mb": blocks("mbs"), "visits_here": F.lit(False)}).withColumn("vb", all_of("vbs")).select(column)
+    visiting = coded.withColumn("list", F.explode("visits")).join(size, "list").withColumns({"vb": blocks("vbs"), "visits_here": F.lit(True), "codes": F.lit(b"")}).withColumn("mb", all_of("mbs")).select(column)
 
     def meet(batches):
         index = shared.value
         for table in whole_groups(batches, ["list", "mb", "vb"], rows=BLOCK):
             x = {c: table.column(c).to_numpy() for c in ("list", "mb", "vb", "visits_here", "cid", "node", "n", "home", "error")}
             u = _unit(matrix(table.column("raw")))
-            codes, visits = table.column("codes"), table.column("visits")
+            codes = table.column("codes")
             change = (x["list"][1:] != x["list"][:-1]) | (x["mb"][1:] != x["mb"][:-1]) | (x["vb"][1:] != x["vb"][:-1])
             cuts = bounds(np.cumsum(np.concatenate([[0], change])))
             counts = np.zeros(len(u), dtype=np.int64)
@@ -144,22 +148,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
                 inside, guests = at[~x["visits_here"][a:z]], at[x["visits_here"][a:z]]
                 if not len(inside) or not len(guests):
                     continue
-                own = np.frombuffer(b"".join(codes.take(pa.array(inside)).to_pylist()), dtype=np.uint8).reshape(len(inside), -1)
-                far = index.lookup(u[guests], int(x["list"][a]), own)
-                i, j = np.nonzero(far <= index.radius + x["error"][inside] + 1e-3)
-                g, m = guests[i], inside[j]
-                back = np.zeros((len(inside), len(index.coarse)), dtype=bool)
-                asked = visits.take(pa.array(inside)).combine_chunks()
-                back[np.repeat(np.arange(len(inside)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()] = True
-                # each pair is met once: by the smaller one's visit if both visit the other's list
-                once = (x["cid"][g] != x["cid"][m]) & (~back[j, x["home"][g]] | (x["cid"][g] < x["cid"][m]))
-                g, m = g[once], m[once]
-                close = np.einsum("ij,ij->i", u[g], u[m]) >= cosine
-                g, m = g[close], m[close]
-                np.add.at(counts, g, x["n"][m])
-                np.add.at(counts, m, x["n"][g])
-                left.append(g)
-                right.append(m)
+                go = index.probes(u[guests], x["home"][guests])
+                for c in np.unique(x["home"][inside]).tolist():
+                    here, there = inside[x["home"][inside] == c], guests[go[:, c] & (x["home"][guests] <= c)]
+                    own = np.frombuffer(b"".join(codes.take(pa.array(here)).to_pylist()), dtype=np.uint8).reshape(len(here), -1)
+                    step = max(1, LOOKUPS // len(here))
+                    for k in range(0, len(there), step):
+                        some = there[k : k + step]
+                        i, j = np.nonzero(index.lookup(u[some], c, own) <= index.radius + x["error"][here] + 1e-3)
+                        g, m = some[i], here[j]
+                        # each pair is met once: in the later list, or by the smaller one's visit to their own
+                        once = (x["home"][g] < c) | (x["cid"][g] < x["cid"][m])
+                        g, m = g[once], m[once]
+                        close = np.einsum("ij,ij->i", u[g], u[m]) >= cosine
+                        g, m = g[close], m[close]
+                        np.add.at(counts, g, x["n"][m])
+                        np.add.at(counts, m, x["n"][g])
+                        left.append(g)
+                        right.append(m)
             root = forest(np.concatenate(left), np.concatenate(right), len(u))
             keep = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(x["cid"][keep]), pa.array(counts[keep]), pa.array(x["node"][keep]), pa.array(x["node"][root[keep]])], ["cid", "links", "u", "v"])

@@ -85,6 +85,20 @@ def test_near_duplicate_vectors(spark):
     assert near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 500])
+def test_near_duplicate_vectors_near_a_subspace(spark, monkeypatch, block):
+    from fraglens.llm import pq_dedup
+
+    monkeypatch.setattr(pq_dedup, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    v = (rng.normal(size=(3000, 4)) @ rng.normal(size=(4, 64)) + 0.15 * rng.normal(size=(3000, 64))).astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in pq_dedup.near_duplicates(df).collect()}
+    assert got == {i: int(near[i].sum()) - 1 for i in range(len(v))}
+
+
 def _fingerprint(text, width=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
