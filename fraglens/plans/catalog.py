@@ -650,7 +650,7 @@ def _(s, d):
 
 @query("LA_16_smooth")
 def _(s, d):
-    x = fx.coords(s, d).select(F.col("row").alias("id"), F.col("column").alias("feature_id"), "value").where("feature_id < 4")
+    x = fx.coords(s, d).select(F.col("row").alias("id"), F.col("column").alias("feature_id"), "value")
     return ne.diffuse(x, ne.markov(ne.knn(_points(s, d), 15), 15), 2)
 
 

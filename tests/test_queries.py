@@ -38,3 +38,10 @@ def test_registry():
 def test_no_cartesian_product(spark):
     plan = catalog.QUERIES["J_04_AGG_08_paired_insertion"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_smoothing_takes_all_features(spark):
+    from fraglens.plans import fixtures
+
+    want = fixtures.coords(spark, SF).select("column").distinct().count()
+    assert catalog.QUERIES["LA_16_smooth"](spark, SF).select("feature_id").distinct().count() == want > 4
