@@ -1,7 +1,8 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, on numpy arrays.
 
 Suffixes are classified; the leftmost-smaller ones are sorted by an induction from their first characters, named,
-and, if names repeat, sorted by recursion on the string of names; the whole array is induced from them. An induction
+and, if names repeat, sorted by recursion on the string of names (by prefix doubling if there are over MOST_BUCKETS
+names, as in about any full shard); the whole array is induced from them. An induction
 runs over the buckets of the alphabet, and within a bucket in waves, each of which is one array operation.
 """
 
