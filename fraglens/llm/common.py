@@ -8,7 +8,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows per Arrow batch: texts may be long, so batches stay small and the workers' memory bounded.
 BATCH_ROWS = 1000
@@ -72,6 +74,35 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int =
         yield pa.Table.from_batches(held)
 
 
+def packed(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of many small batches in batches of about `rows` rows or `size` bytes."""
+    held: list[pa.RecordBatch] = []
+    n = weight = 0
+    for b in batches:
+        held.append(b)
+        n, weight = n + b.num_rows, weight + b.nbytes
+        if n >= rows or weight >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, weight = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def fields(columns: list[str], held: str = "row") -> list[Column]:
+    """The columns, whatever their names, out of the struct `held`; text stands beside it."""
+    return [F.col(f"{held}.`{c}`").alias(c) if c != "text" else F.col("text") for c in columns]
+
+
+def with_row(framed: DataFrame, rest: str) -> StructType:
+    """A schema of the column `row` of framed and the columns that rest declares."""
+    return StructType([framed.schema["row"], *StructType.fromDDL(rest)])
+
+
+def columns_of(df: DataFrame, but: Iterable[str] = ()) -> list[Column]:
+    """The columns of df, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in but]
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index reachable from each of n nodes over the undirected edges (a[i], b[i])."""
     root = np.arange(n)
