@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraglens.llm.common import tune
+from fraglens.llm.common import columns_of, fields, tune, with_row
 
 #: Documents that the scorer is trained on (those with the smallest hashes), and hashed features.
 SAMPLE, FEATURES = 6000, 1 << 14
@@ -149,12 +149,18 @@ def train(rows: list[np.ndarray], counts: list[np.ndarray], target: np.ndarray,
     return w, b
 
 
-def score_quality(docs: DataFrame) -> DataFrame:
+OUTPUT = ["quality_posterior", "quality_score", "quality_kept"]
+
+
+def score_quality(docs: DataFrame, only_kept: bool = False) -> DataFrame:
     """docs (with text) and quality_posterior, quality_score (0 to 1, higher is better) and quality_kept.
 
+    With only_kept the columns are those of docs and the rows those that are kept.
+
     Vote patterns are counted over all documents; the scorer is trained on at most SAMPLE of them, chosen by a hash of
     the text. A document is kept if its score is at least 0.5. A null text, or one without words, has score 0 and
-    isn't kept. Equal texts have equal scores; extra columns are kept; an empty table gives an empty result.
+    isn't kept. Equal texts have equal scores; texts are read whole, however long; extra columns are kept, whatever their
+    names, but those named like the three results give way to them; an empty table gives an empty result.
     """
     tune(docs.sparkSession)
 
@@ -185,8 +191,6 @@ def score_quality(docs: DataFrame) -> DataFrame:
 
     sample = chosen.mapInArrow(shapes, "f array<smallint>, n array<int>, y double").toArrow()  # at most FEATURES pairs a document
     w, bias = train(list(sample.column("f").to_numpy()), list(sample.column("n").to_numpy()), sample.column("y").to_numpy())
-    own = [c for c in docs.columns if c != "text"]
-
     def run(batches):
         memo = _Features()
         for b in batches:
@@ -203,7 +207,9 @@ def score_quality(docs: DataFrame) -> DataFrame:
                 scores.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(beliefs, pa.float64()), pa.array(scores, pa.float64())], ["row", "text", "p", "s"])
 
-    framed = docs.select(F.struct(*(own or [F.lit(0).alias("_")])).alias("row"), "text")
-    done = framed.mapInArrow(run, f"row {framed.schema['row'].dataType.simpleString()}, text string, p double, s double")
-    kept = [F.col(f"row.`{c}`").alias(c) if c != "text" else F.col("text") for c in docs.columns]
-    return done.select(*kept, F.col("p").alias("quality_posterior"), F.col("s").alias("quality_score"), (F.col("s") >= 0.5).alias("quality_kept"))
+    kept = [c for c in docs.columns if only_kept or c not in OUTPUT]
+    framed = docs.select(F.struct(F.lit(0).alias("_"), *columns_of(docs, ["text", *(() if only_kept else OUTPUT)])).alias("row"), "text")
+    done = framed.mapInArrow(run, with_row(framed, "text string, p double, s double"))
+    if only_kept:
+        return done.where("s >= 0.5").select(*fields(kept))
+    return done.select(*fields(kept), F.col("p").alias("quality_posterior"), F.col("s").alias("quality_score"), (F.col("s") >= 0.5).alias("quality_kept"))
