@@ -1,11 +1,13 @@
 """Near-duplicate embeddings by product quantisation.
 
 Unit vectors are listed by their nearest coarse centroid, and what remains is coded by a small codebook for each
-subspace. A vector visits every list in which a neighbour may be: by the plane between two centroids, a neighbour
-within a distance r can only be listed elsewhere if the plane is no further away than r. There, distances come from
-table lookups on the codes; with each code's own error they bound the true distance, so that no neighbour is passed
-over. What is left is judged by the exact cosine. Since both of a pair visit each other's list, only visits to later
-lists are made, and lists are dealt in groups: a vector is sent once to a group in which it visits any list.
+subspace. A vector visits the lists in which a neighbour may be: by the plane between two centroids, a neighbour
+within a distance r can only be listed elsewhere if the plane is no further away than r. Few neighbours lie straight
+across a plane, so a share of r, the reach, finds nearly all; it is calibrated on the sample, and with a recall of 1 it
+is r itself, which leaves out nothing. In a list, distances come from table lookups on the codes; with each code's own
+error they bound the true distance, so that no neighbour is passed over. What is left is judged by the exact cosine.
+Since both of a pair visit each other's list, only visits to later lists are made, and lists are dealt in groups: a
+vector is sent once to a group in which it visits any list.
 """
 
 from __future__ import annotations
@@ -23,11 +25,16 @@ from fraglens.llm.vectors import matrix, usable
 SAMPLE, MOST_LISTS, SUBSPACES, CODES = 32768, 4096, 16, 256
 #: Members and visitors of a group of lists that meet at once.
 BLOCK = 8192
+#: Sampled vectors, and neighbours made up for each, from which the reach is calibrated, and what is added to it.
+ASKERS, MADE, MARGIN = 2048, 4, 0.02
+#: Links of 256 sampled vectors that take part in that, by chance if there are more.
+PAIRS = 8192
 #: Distances that are looked up at once.
 LOOKUPS = 1 << 20
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # squares of very small or large numbers leave the range
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -50,7 +57,8 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Index:
     """Coarse centroids and residual codebooks, fitted on a sample of unit vectors."""
 
-    def __init__(self, sample: np.ndarray, lists: int, radius: float):
+    def __init__(self, sample: np.ndarray, lists: int, cosine: float, recall: float):
+        radius = float(np.sqrt(2 - 2 * cosine))
         rng = np.random.default_rng(7)
         self.radius = radius
         self.coarse = kmeans(sample, lists, 8, rng)
@@ -60,6 +68,41 @@ class Index:
         gap = self.coarse[:, None, :] - self.coarse[None, :, :] if len(self.coarse) <= 512 else None
         self.between = np.linalg.norm(gap, axis=2) if gap is not None else np.sqrt(np.maximum(0, (d := (self.coarse**2).sum(axis=1))[:, None] + d - 2 * self.coarse @ self.coarse.T))
 
+        self.reach = 1.0 if recall >= 1 else self._calibrated(sample, cosine, recall, rng)
+
+    def _calibrated(self, sample: np.ndarray, cosine: float, recall: float, rng: np.random.Generator) -> float:
+        """The share of the radius that finds this share of links: those of the sample, and made-up ones.
+
+        A made-up neighbour is as far away as a link allows, towards another vector of the sample, so that it lies where
+        the data lie, whatever their dimension.
+        """
+        some = sample[rng.permutation(len(sample))[:ASKERS]]
+        left, right = [], []
+        for a in range(0, len(some), 256):
+            i, j = np.nonzero(some[a : a + 256] @ sample.T >= cosine)
+            if len(i) > PAIRS:  # the sample may hold large groups
+                pick = rng.choice(len(i), PAIRS, replace=False)
+                i, j = i[pick], j[pick]
+            left.append(some[a + i])
+            right.append(sample[j])
+        real = self._needed(np.concatenate(left), np.concatenate(right))
+        u = np.repeat(some, MADE, axis=0)
+        to = sample[rng.integers(len(sample), size=len(u))]
+        to = to - (to * u).sum(axis=1, keepdims=True) * u
+        size = np.linalg.norm(to, axis=1)
+        ok = size > 1e-9
+        made = self._needed(u[ok], cosine * u[ok] + np.sqrt(1 - cosine**2) * to[ok] / size[ok, None])
+        return min(1.0, MARGIN + max((float(np.quantile(x, recall, method="higher")) for x in (real, made) if len(x)), default=1.0))
+
+    def _needed(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The reach at which the vector of a pair with the earlier list visits the other's, of pairs in different lists."""
+        a, b = nearest(u, self.coarse), nearest(v, self.coarse)
+        apart = a != b
+        a, b = a[apart], b[apart]
+        x = np.where((a < b)[:, None], u[apart], v[apart])
+        low, high = self.coarse[np.minimum(a, b)], self.coarse[np.maximum(a, b)]
+        return (((x - high) ** 2).sum(axis=1) - ((x - low) ** 2).sum(axis=1)) / np.maximum(2 * self.radius * self.between[a, b], 1e-12)
+
     def encode(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(list, codes, error) of unit vectors."""
         home = nearest(u, self.coarse)
@@ -69,29 +112,32 @@ class Index:
         return home, codes, np.linalg.norm(rest - near, axis=1)
 
     def probes(self, u: np.ndarray, home: np.ndarray) -> np.ndarray:
-        """For each vector and list, whether a neighbour within the radius may be listed there."""
+        """For each vector and list, whether a neighbour may be listed there."""
         d2 = (self.coarse**2).sum(axis=1) - 2 * u @ self.coarse.T
         own = d2[np.arange(len(u)), home]
-        return d2 - own[:, None] <= 2 * (self.radius + 1e-6) * self.between[home]
+        return d2 - own[:, None] <= 2 * (self.reach * self.radius + 1e-6) * self.between[home]
 
-    def lookup(self, u: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Distances of vectors to the coded members of a list, by tables."""
-        rest = u - self.coarse[at]
-        total = np.zeros((len(u), len(codes)), dtype=np.float32)
+    def within(self, u: np.ndarray, at: int, codes: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(member, vector) pairs of the coded members of a list and vectors, by the distances that tables give; most: one for each member."""
+        rest = (u - self.coarse[at]).astype(np.float32)
+        total = np.zeros((len(codes), len(u)), dtype=np.float32)
         for m, (d, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            table = ((rest[:, d][:, None, :] - b[None]) ** 2).sum(axis=2).astype(np.float32)
-            total += table[:, codes[:, m]]
-        return np.sqrt(total)
+            b = b.astype(np.float32)
+            table = (b * b).sum(axis=1)[:, None] + (rest[:, d] ** 2).sum(axis=1) - 2 * b @ rest[:, d].T
+            total += table[codes[:, m]]
+        return np.nonzero(total <= (most**2)[:, None].astype(np.float32))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
 
     Rows link when the cosine of their vectors, in double precision, is at least `cosine`. n_links counts the other
     rows linked directly, component_id is the smallest vec_id reachable (itself included), kept says whether that is
     the row's own. Null or zero vectors, those with null or non-finite components or of a rare length link with
     nothing. Rows that share a vec_id are one node of the components. Equal vectors are compared once and counted.
-    The index is fitted on at most SAMPLE rows and holds every row; its bounds leave nothing out.
+    The index is fitted on at most SAMPLE rows and holds every row. Of the links between vectors in different lists it
+    finds about the share `recall` or more, and all others; with recall 1 it finds all, at more visits. An empty table
+    gives an empty result; other columns play no part.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -107,10 +153,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     if not total:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    radius = float(np.sqrt(2 - 2 * cosine))
     lists = int(min(MOST_LISTS, max(1, round(total**0.5))))
     span = -(-lists // -(-total // BLOCK))  # lists in a group
-    shared = spark.sparkContext.broadcast(Index(_unit(matrix(sample)), lists, radius))
+    shared = spark.sparkContext.broadcast(Index(_unit(matrix(sample)), lists, cosine, recall))
 
     def encode(batches):
         index = shared.value
@@ -155,7 +200,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
                     step = max(1, LOOKUPS // len(here))
                     for k in range(0, len(there), step):
                         some = there[k : k + step]
-                        i, j = np.nonzero(index.lookup(u[some], c, own) <= index.radius + x["error"][here] + 1e-3)
+                        j, i = index.within(u[some], c, own, index.radius + x["error"][here] + 1e-3)
                         g, m = some[i], here[j]
                         # each pair is met once: in the later list, or by the smaller one's visit to their own
                         once = (x["home"][g] < c) | (x["cid"][g] < x["cid"][m])
