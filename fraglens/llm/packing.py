@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fraglens.llm.common import materialise, tune
-from fraglens.llm.merges import MergeTable
 
 CAPACITY = 1024
 END_ID = 2
-MEMO_WORDS, MEMO_CHARS = 600_000, 64
+MEMO_WORDS, MEMO_CHARS, LEARNT_AT_ONCE = 300_000, 64, 20_000
 #: White space after a space: there the pre-tokenizer's runs may cross the space.
 _RUN = re.compile(r" \s")
 #: Words that the fast path takes: Latin characters, nothing that could be a special token, line breaks inside only.
@@ -42,28 +41,25 @@ def word_tokenizer(path: str) -> WordTokenizer:
 class WordTokenizer:
     """A byte-level vocabulary applied word by word: its pre-tokenizer never joins a word with the space after it.
 
-    Words are encoded once and remembered; those that are new are merged side by side.
+    Words are encoded once and remembered. Plain ones are merged by tiktoken from the vocabulary's ranks, which gives the
+    library's ids (a test compares them); the rest goes to the library itself.
     """
 
     def __init__(self, path: str):
         import public_tokenizers
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
         with open(path) as f:
-            model = json.load(f)["model"]
-        vocab = model["vocab"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.table = MergeTable({(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in reversed(list(enumerate(merges)))})
+            vocab = json.load(f)["model"]["vocab"]
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.byte_ids = np.full(256, -1, dtype=np.int32)
-        for c in [chr(i) for i in range(0x250)]:
-            for b, s in zip(c.encode(), spell.pre_tokenize_str(c)[0][0], strict=True):
-                self.byte_ids[b] = vocab[s]
-        self.parts: dict[str, bytes] = {}
+        spelt = {s: b for c in map(chr, [*range(0x800), *range(0x800, 0x110000, 0x800)]) if not 0xD800 <= ord(c) < 0xE000 for b, s in zip(c.encode(), spell.pre_tokenize_str(c)[0][0], strict=True)}
+        ranks = {bytes(map(spelt.__getitem__, t)): i for t, i in vocab.items() if spelt.keys() >= set(t)}
+        self.merge = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)  # ids that begin with a space
+        self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -72,30 +68,26 @@ class WordTokenizer:
     def learn(self, words: set[str]) -> None:
         """Encode words, each after a space, and remember them."""
         easy = [w for w in words if _EASY.fullmatch(w)]
-        flat = self.split(" " + " ".join(easy)) if easy else []
-        new = list(set(flat) - self.parts.keys())
-        raw = [p.encode() for p in new]
-        flat_ids = self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        self.parts.update(zip(new, self.table.merge(flat_ids, np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))), strict=True))
-        starts = [i for i, p in enumerate(flat) if p[0] == " "]
-        for w, i, k in zip(easy, starts, [*starts, len(flat)][1:], strict=True):
-            self.words[w] = b"".join(map(self.parts.__getitem__, flat[i:k]))
+        for at in range(0, len(easy), LEARNT_AT_ONCE):
+            some = easy[at : at + LEARNT_AT_ONCE]
+            ids = np.array(self.merge(" " + " ".join(some)), dtype="<u4")
+            cuts = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            self.words.update(zip(some, [raw[i:k] for i, k in zip(cuts, cuts[1:])], strict=True))
         for w in words.difference(easy):
-            self.words[w] = self.whole(" " + w)
+            self.words[w] = self.whole(f" {w}")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         plain = [t.split(" ") if not _RUN.search(t) else None for t in texts]
-        if len(self.words) > MEMO_WORDS or len(self.parts) > MEMO_WORDS:
+        if len(self.words) > MEMO_WORDS:
             self.words.clear()
-            self.parts.clear()
         unseen = set().union(*(p[1:] for p in plain if p)) - self.words.keys()
         self.learn(unseen)
         get = self.words.__getitem__
         out = [self._mixed(t) if p is None else (self.whole(p[0]) if p[0] else b"") + b"".join(map(get, p[1:])) for t, p in zip(texts, plain, strict=True)]
-        for memo in (self.words, self.parts):
-            for w in [w for w in unseen if len(w) > MEMO_CHARS]:
-                memo.pop(w, None)
+        for w in [w for w in unseen if len(w) > MEMO_CHARS]:
+            self.words.pop(w, None)
         return out
 
     def _mixed(self, text: str) -> bytes:
@@ -247,7 +239,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
             names = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, raw in zip(batch.column(0).to_pylist(), coder.encode(texts), strict=True):
-                raw += end
+                raw = memoryview(raw + end)
                 n = len(raw) // 4
                 at, k = 0, 0
                 while at < n:
