@@ -36,7 +36,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraglens.llm.suffix_dedup import cut_repeats
 
-    return cut_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return cut_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=51)
 
 
 def op5_private_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,13 +59,20 @@ def _induce(s: np.ndarray, k: int, smaller: np.ndarray, lms: np.ndarray) -> np.n
     larger = np.bincount(s[~smaller], minlength=k)
     out = np.full(n, -1, dtype=np.int32)
 
-    def group(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """p by symbol, in its order within each; the symbols, and each one's place in its group."""
-        sym = s[p]
+    # symbol, plus k if the suffix is smaller; the place before the first is neither
+    kind = np.append(s + k * smaller, 2 * k).astype(np.int16 if k < 2**13 else np.int32)
+    narrow = np.uint8 if k <= 256 else kind.dtype
+
+    def before(p: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffixes one to the left of p whose kind is in low..low + k - 1, by symbol and in the order of p; symbols; counts."""
+        p = p - 1
+        sym = kind[p] - low
+        keep = np.flatnonzero((sym >= 0) & (sym < k))
+        if not len(keep):
+            return p[:0], sym[:0], size[:0]
+        sym = sym[keep].astype(narrow)
         order = np.argsort(sym, kind="stable")
-        p, sym = p[order], sym[order]
-        first = np.concatenate([[0], np.flatnonzero(sym[1:] != sym[:-1]) + 1])
-        return p, sym, np.arange(len(p)) - np.repeat(first, np.diff(np.append(first, len(p))))
+        return p[keep[order]], sym[order], np.bincount(sym, minlength=k)
 
     fill = head.copy()
     out[fill[s[n - 1]]] = n - 1
@@ -73,12 +80,10 @@ def _induce(s: np.ndarray, k: int, smaller: np.ndarray, lms: np.ndarray) -> np.n
     starts = np.searchsorted(s[lms], np.arange(k + 1))
 
     def push(p: np.ndarray) -> None:
-        p = p[p > 0] - 1
-        p = p[~smaller[p]]
+        p, sym, count = before(p, 0)
         if len(p):
-            p, sym, place = group(p)
-            out[fill[sym] + place] = p
-            np.add.at(fill, sym[place == 0], np.diff(np.append(np.flatnonzero(place == 0), len(p))))
+            out[np.arange(len(p)) + (fill - np.cumsum(count) + count)[sym]] = p
+            fill[:] += count
 
     for c in np.flatnonzero(size):
         at = head[c]
@@ -94,12 +99,10 @@ def _induce(s: np.ndarray, k: int, smaller: np.ndarray, lms: np.ndarray) -> np.n
 
     def pull(p: np.ndarray) -> None:
         """p: suffixes from the largest down."""
-        p = p[p > 0] - 1
-        p = p[smaller[p]]
+        p, sym, count = before(p, k)
         if len(p):
-            p, sym, place = group(p)
-            out[low[sym] - 1 - place] = p
-            np.subtract.at(low, sym[place == 0], np.diff(np.append(np.flatnonzero(place == 0), len(p))))
+            out[(low - 1 + np.cumsum(count) - count)[sym] - np.arange(len(p))] = p
+            low[:] -= count
 
     for c in np.flatnonzero(size)[::-1]:
         at = tail[c]
@@ -133,10 +136,13 @@ def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
 def _by_doubling(s: np.ndarray) -> np.ndarray:
     """Suffixes of a string with many symbols, by ranks of prefixes whose length doubles."""
     n = len(s)
-    order = np.argsort(s, kind="stable")
+    first = s.astype(np.int64) + 1
+    step = 3 if int(first.max()) < 2**21 else 1
+    for k in range(1, step):  # so many symbols at once; beyond the end there is a smaller one
+        first = (first << 21) + np.append(s[k:] + 1, np.zeros(min(k, n), dtype=np.int64))[:n]
+    order = np.argsort(first)
     rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(s[order][1:] != s[order][:-1])])
-    step = 1
+    rank[order] = np.concatenate([[0], np.cumsum(first[order][1:] != first[order][:-1])])
     while step <= n:
         single = np.bincount(rank, minlength=n)
         open_ = np.flatnonzero(single[rank] > 1)
