@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: With more symbols than this, buckets are too small to be worth an array operation each.
-MOST_BUCKETS = 2048
+MOST_BUCKETS = 512
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:

@@ -31,8 +31,8 @@ HOT = 768
 CHUNKS = (32, 4)
 #: Bytes that never stand in UTF-8: between fragments, and after the last.
 BETWEEN, AFTER = 0xFF, 0xC0
-#: Bytes of text that are hashed at once, and bytes of fragments that a suffix array takes (or one anchor).
-SLAB, SHARD = 1 << 20, 1 << 19
+#: Bytes of text that are hashed at once; fragments that are read at once, and bytes of theirs that a suffix array takes (or one anchor).
+SLAB, ROWS, SHARD = 1 << 20, 8192, 3 << 20
 #: Words of an anchor of a window of words, and bytes of a word that is spelt out; longer ones are told apart by a 128-bit hash.
 ANCHOR_WORDS, SPELT = 8, 32
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -259,7 +259,7 @@ def _judge(words: int | None):
     span = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key"], rows=HOT):
+        for table in whole_groups(batches, ["key"], rows=ROWS):
             key, by_words = (table.column(c).to_numpy() for c in ("key", "words"))
             contents, copies, places = (table.column(c).to_pylist() for c in ("content", "copies", "place"))
             spans: list[list] = [[] for _ in contents]
