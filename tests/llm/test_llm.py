@@ -54,9 +54,12 @@ def _vectors(spark, seed=0):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block", [40, 8192])
+def test_top_k(spark, monkeypatch, block):
+    from fraglens.llm import topk
     from fraglens.llm.topk import top_k
 
+    monkeypatch.setattr(topk, "BLOCK", block)
     rows, df = _vectors(spark)
     ok = [(i, np.floor(256 * np.asarray(v, dtype=np.float32).astype(float)).astype(int)) for i, v, _ in rows if v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v)]
     want = set()
@@ -69,6 +72,27 @@ def test_top_k(spark):
     assert top_k(df.where("false"), "vec_id % 50 = 0").count() == 0
 
 
+def test_lists_are_read_in_part():
+    from fraglens.llm.topk import SortedLists
+
+    rng = np.random.default_rng(5)
+    v = np.floor(256 * (rng.normal(size=(40, 32))[rng.integers(40, size=3000)] + 0.02 * rng.normal(size=(3000, 32))))
+    queries = v[::100]
+    lists = SortedLists(v)
+    for q, found in zip(queries, lists.candidates(queries, 6), strict=True):
+        scores = v @ q
+        assert set(np.flatnonzero(scores >= np.sort(scores)[-6])) <= set(found.tolist())
+    assert lists.reads < 0.9 * len(queries) * v.size
+
+
+def test_top_k_of_very_large_numbers(spark):
+    from fraglens.llm.topk import top_k
+
+    df = spark.createDataFrame([(0, [1e17, 1.0]), (1, [3e17, 2.0]), (2, [3e17, 3.0]), (3, [-1e300, 1e300])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in top_k(df, "vec_id = 0").orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (2, 2**63 - 1), (3, -(2**63))]
+
+
 def test_near_duplicate_vectors(spark):
     from fraglens.llm.pq_dedup import near_duplicates
 
@@ -95,10 +119,27 @@ def test_near_duplicate_vectors_near_a_subspace(spark, monkeypatch, block):
     u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
     near = u @ u.T >= 0.9
     df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
-    got = {r.vec_id: r.n_links for r in pq_dedup.near_duplicates(df).collect()}
+    got = {r.vec_id: r.n_links for r in pq_dedup.near_duplicates(df, recall=1.0).collect()}
     assert got == {i: int(near[i].sum()) - 1 for i in range(len(v))}
 
 
+@pytest.mark.parametrize("rank", [2, 4, 64])
+def test_recall_of_near_duplicate_vectors(spark, rank):
+    from fraglens.llm.pq_dedup import near_duplicates
+
+    rng = np.random.default_rng(rank)
+    v = rng.normal(size=(4000, rank)) @ rng.normal(size=(rank, 64)) if rank < 64 else rng.normal(size=(4000, 64))
+    v[2000:3000] = v[1000:2000] + 0.4 * np.linalg.norm(v[1000:2000], axis=1, keepdims=True) / 8 * rng.normal(size=(1000, 64))  # near copies
+    v = v.astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = np.zeros(len(v), dtype=int)
+    for r in near_duplicates(df).collect():
+        got[r.vec_id] = r.n_links
+    assert want.sum() > 500 and (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
 def _fingerprint(text, width=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -227,9 +268,12 @@ def test_repeats(spark, docs, rows, none, monkeypatch, hot):
     assert suffix_dedup.cut_repeats(none).count() == 0
 
 
-def test_repeated_passages_of_few_bytes(spark):
+@pytest.mark.parametrize("hot", [1, 768])
+def test_repeated_passages_of_few_bytes(spark, monkeypatch, hot):
     import corpus_pipeline
+    from fraglens.llm import suffix_dedup
 
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(9)
     fresh = lambda n: " ".join(f"{rng.choice('abcd')}{rng.randrange(10**4)}" for _ in range(n))
     long, short, twice = " ".join(rng.choice("abcdefghij") for _ in range(51)), fresh(50), fresh(51)
@@ -240,6 +284,24 @@ def test_repeated_passages_of_few_bytes(spark):
     assert len(long) < 120 and got == dict(enumerate(want))
 
 
+def test_repeats_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+    from fraglens.llm.suffix_dedup import cut_repeats
+
+    text = " ".join(f"w{i}" for i in range(200))
+    df = spark.createDataFrame([(1, text, 5, "x", "y"), (2, text, 6, "x", "z"), (None, "own", 7, "x", None)], "doc_id long, text string, n_bytes long, `a.b` string, quality_kept string")
+    got = {r.doc_id: r for r in corpus_pipeline.repeats(spark, df, "").collect()}
+    assert [got[k].asDict() for k in (1, 2)] == [{"doc_id": k, "text": "", "n_bytes": n, "a.b": "x", "quality_kept": q} for k, n, q in ((1, 5, "y"), (2, 6, "z"))]
+    assert got[None].text == "own" and got[None].n_bytes == 7
+    assert {r.doc_id: (r.n_bytes, r["a.b"]) for r in cut_repeats(df).collect()} == {1: (len(text), "x"), 2: (len(text), "x"), None: (3, "x")}
+    same = {r.doc_id: r.asDict() for r in df.collect()}
+    assert {r.doc_id: r.asDict() for r in corpus_pipeline.private_data(spark, df, "").collect()} == same
+    kept = {r.doc_id: r.asDict() for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert kept == {k: same[k] for k in (1, None)}
+    good = {r.doc_id: r.asDict() for r in corpus_pipeline.quality(spark, df, "").collect()}
+    assert good.items() <= same.items()
+
+
 def test_suffix_array():
     from fraglens.llm import suffix
 
@@ -271,11 +333,59 @@ def test_private_data(spark, none):
     assert got[4].spans == got[5].spans == got[6].spans == ""
     assert got[7].spans == "ip:0:7"
     assert got[0].base_sha256 == hashlib.sha256(b"email:5:14").hexdigest()
+    keys = [f'note token = "{hashlib.sha1(str(i).encode()).hexdigest()}" here' for i in range(15)] + [f'TOKEN = "{hashlib.sha1(b"x").hexdigest().upper()}"!!', f'say {hashlib.sha1(b"y").hexdigest()} in passing']
+    found = {r.doc_id: r for r in find_private(spark.createDataFrame(list(enumerate(keys)), "doc_id long, text string")).collect()}
+    assert all(found[i].spans == "secret:14:54" and found[i].n_added == 1 for i in range(15))
+    assert found[15].spans == "secret:9:49" and found[16].spans == ""
     assert got[20].n_email == 0 and got[20].spans == "email:14:28"  # only its context tells
     assert {r.doc_id: r.text for r in redact(df).collect()}[2] == "card [CARD] x"
     assert find_private(none).count() == 0 and redact(none).count() == 0
 
 
+def _plain_spans(text):
+    """The fixed formats as they are stated."""
+    out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in re.sub("[^0-9]", "", m[0])]
+        if 16 <= len(d) <= 19 and sum(v if i % 2 == 0 else (2 * v if v < 5 else 2 * v - 9) for i, v in enumerate(reversed(d))) % 10 == 0:
+            out.append((2, m.start(), m.end()))
+    return out + [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_fixed_formats_against_plain_patterns():
+    import time
+
+    from fraglens.llm.pii import base_spans
+
+    rng = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(rng.choice("a.@-+0127 5(é_%") for _ in range(rng.randrange(40)))
+        assert base_spans(text) == _plain_spans(text)
+    for _ in range(5_000):
+        text = "".join(rng.choice("0123456789 -.+" if rng.random() < 0.1 else "0123456789") for _ in range(rng.randrange(60)))
+        assert base_spans(text) == _plain_spans(text)
+    assert base_spans("1" * 5000 + ".1.1.1") == [] and base_spans("0" * 5000 + "1.1.1.1") == [(1, 0, 5007)]
+    for text in ("1" * 10**6, "a" * 10**6 + "@", "1." * 500_000, "+1" + " " * 10**6):
+        began = time.process_time()
+        base_spans(text)
+        assert time.process_time() - began < 3
+
+
+def test_private_data_of_documents(spark):
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = __spark_entry__.queries()["op5_private_contexts"](spark, sf).collect()
+    assert len(got) == len(texts) and sum(r.n_added for r in got) > 0
+    for r in got:
+        base = _plain_spans(texts[r.doc_id])
+        spelt = ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(spelt.encode()).hexdigest()
+        assert set(filter(None, spelt.split(","))) <= set(r.spans.split(","))
+
+
 def test_toxicity(spark, none):
     from fraglens.llm.toxicity import fold, score_toxicity
 
@@ -312,6 +422,35 @@ def test_sharding(docs, rows, none):
     assert (more.shard != first.shard).mean() < 0.1  # a 25th shard takes about its part
 
 
+def test_sharding_edits_a_stored_map(spark, docs, rows, tmp_path):
+    from fraglens.llm.sharding import shard_documents
+
+    path = str(tmp_path / "map")
+    first = shard_documents(docs, 5, 64, path).collect()
+    texts = {i: t or "" for i, t, *_ in rows}
+    homes = {}
+    for r in first:
+        homes.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert all(len(h) == 1 for h in homes.values())  # equal texts stay together
+    again = shard_documents(docs, 5, 64, path).collect()
+    assert {r.map_version for r in first} == {2} and {r.map_version for r in again} == {3}
+    assert sorted(map(tuple, (r[:7] for r in first)), key=str) == sorted(map(tuple, (r[:7] for r in again)), key=str)
+    fewer = shard_documents(docs, 4, 64, path).collect()
+    moved = sum(a != b for a, b in ((dict((r.virtual_slot, r.shard) for r in x)[k], s) for x in (again,) for k, s in {r.virtual_slot: r.shard for r in fewer}.items()))
+    assert {r.shard for r in fewer} <= set(range(4)) and moved <= 40
+    with pytest.raises(ValueError):
+        shard_documents(docs, 4, 128, path)
+
+
+def test_sharding_splits_only_what_fits_no_shard(spark):
+    from fraglens.llm.sharding import shard_documents
+
+    df = spark.createDataFrame([(i, "x" * 92) for i in range(600)] + [(1000 + i, f"{i:03}" * 30) for i in range(900)], "doc_id long, text string")
+    got = shard_documents(df, 6).groupBy("shard").sum("size").collect()
+    sizes = [r[1] for r in got]
+    assert len(sizes) == 6 and max(sizes) - min(sizes) <= 200
+
+
 def test_pieces(docs, rows, none):
     import sentencepiece
 
