@@ -127,11 +127,25 @@ def tss_hits(frags: DataFrame, sites: DataFrame, window: int = TSS_WINDOW, group
 
 
 def tsse(frags: DataFrame, sites: DataFrame, window: int = TSS_WINDOW, group: str = "barcode") -> DataFrame:
-    """tsse per cell: mean of the 11 central counts over the background of both outer 100, plus 0.1; 0 without hits."""
-    hits = tss_hits(frags, sites, window, group)
-    centre = F.sum(F.when(F.col("pos").between(window - 5, window + 5), F.col("n")).otherwise(0)).cast("double") / 11
-    outer = F.sum(F.when((F.col("pos") < 100) | (F.col("pos") > 2 * window - 100), F.col("n")).otherwise(0)).cast("double") / 200 + 0.1
-    scored = hits.groupBy(group).agg((centre / outer).alias("tsse"))
+    """tsse per cell: mean of the 11 central counts over the background of both outer 100, plus 0.1; 0 without hits.
+
+    Insertions only meet the three stretches of a window that count, and are summed before they are dealt.
+    """
+    base, end = F.greatest(F.lit(0), F.col("tss") - window), F.col("tss") + window + 1
+    right = max(2 * window - 99, 100)
+
+    def stretch(lo: int, hi: int, central: bool) -> Column:
+        """Places lo..hi of a window, which are mirrored for reverse genes."""
+        start = F.when(F.col("forward"), base + lo).otherwise(F.greatest(base, end - 1 - hi))
+        stop = F.when(F.col("forward"), F.least(end, base + hi + 1)).otherwise(end - lo)
+        return F.struct(start.alias("start"), stop.alias("end"), F.lit(central).alias("central"))
+
+    parts = F.explode(F.array(stretch(window - 5, window + 5, True), stretch(0, 99, False), stretch(right, 2 * window, False)))
+    narrow = sites.select("chrom", parts.alias("s")).select("chrom", "s.start", "s.end", "s.central").where("start < end")
+    met = overlap_join(insertions(frags).select(group, "chrom", "start", "end"), narrow, 200)
+    centre = F.sum(F.col("r_central").cast("long")).cast("double") / 11
+    outer = F.sum((~F.col("r_central")).cast("long")).cast("double") / 200 + 0.1
+    scored = met.groupBy(group).agg((centre / outer).alias("tsse"))
     return frags.select(group).distinct().join(scored, group, "left").select(group, F.coalesce("tsse", F.lit(0.0)).alias("tsse"))
 
 

@@ -29,10 +29,8 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN, how: str =
     stay: a row is asked, not its value.
     """
     if how in ("left_semi", "left_anti"):
-        # islands cover the same bases and don't overlap, so a row meets few of them
-        marked = overlap_join(left.withColumn("_row", F.monotonically_increasing_id()), islands_merged(right), width).select("_row").distinct()
-        keyed = left.withColumn("_row", F.monotonically_increasing_id())
-        return keyed.join(marked, "_row", how).drop("_row")
+        wanted = F.col("_hit") if how == "left_semi" else ~F.col("_hit")
+        return overlap_flag(left, right, width, "_hit").where(wanted).drop("_hit")
     r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
     a = left.withColumn("_bin", F.explode(bins_of(F.col("start"), F.col("end"), width)))
     b = r.withColumn("_bin", F.explode(bins_of(F.col("r_start"), F.col("r_end"), width)))

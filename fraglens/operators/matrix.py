@@ -44,8 +44,8 @@ def tile_matrix(frags: DataFrame, chroms: DataFrame, width: int = 500, strategy:
 def region_matrix(frags: DataFrame, regions: DataFrame, strategy: str = "paired-insertion", group: str = "barcode", width: int = 1000) -> DataFrame:
     """(group, region_id, value) of fragments over regions (chrom, start, end, region_id).
 
-    Equal fragments of a cell are one row with a count before they meet the regions, so no surrogate id is needed: for
-    paired insertions a (fragment, region) pair is met once per distinct fragment.
+    Equal fragments of a cell are one row with a count before they meet the regions. For paired insertions the second
+    one only counts in regions that don't hold the first, so no distinct() over the hits is needed.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
@@ -54,10 +54,11 @@ def region_matrix(frags: DataFrame, regions: DataFrame, strategy: str = "paired-
     if strategy == "fragment":
         hits = overlap_join(paired, regions, width).select(group, F.col("r_region_id").alias("region_id"), "n")
     else:
-        marked = insertions(paired.withColumns({"f_start": F.col("start"), "f_end": F.col("end")}))
+        at = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(False).alias("second")), F.struct((F.col("end") - 1).alias("at"), F.lit(True).alias("second"))))
+        marked = paired.select(group, "chrom", F.col("start").alias("f_start"), "n", at.alias("i")).select(group, "chrom", "f_start", "n", F.col("i.at").alias("start"), (F.col("i.at") + 1).alias("end"), "i.second")
         hits = overlap_join(marked, regions, width)
-        if strategy == "paired-insertion":
-            hits = hits.select(group, "chrom", "f_start", "f_end", "r_region_id", "n").distinct()
+        if strategy == "paired-insertion":  # the second counts where the region doesn't hold the first
+            hits = hits.where(~F.col("second") | (F.col("f_start") < F.col("r_start")) | (F.col("f_start") >= F.col("r_end")))
         hits = hits.select(group, F.col("r_region_id").alias("region_id"), "n")
     ends = overlap_join(insertions(single), regions, width).select(group, F.col("r_region_id").alias("region_id"), "n")
     return hits.unionByName(ends).groupBy(group, "region_id").agg(F.sum("n").alias("value"))

@@ -219,20 +219,26 @@ def _(s, d):
     return mx.regions_from_tiles(mx.tile_matrix(fx.frag(s, d), fx.chroms(s, d)), fx.peak(s, d), 500)
 
 
-@query("J_06_semi", "frag peak", f"SELECT barcode, count(*) AS n FROM frag f WHERE EXISTS (SELECT 1 FROM peak p WHERE p.region_id % 20 = 0 AND {_OVER}) GROUP BY 1")
+def _spots(s, d):
+    """Regions of 300 bases, one for each supplier."""
+    start = (F.col("s_suppkey") * 48271) % 99000
+    return fx.table(s, d, "supplier").select(F.concat(F.lit("chr"), (1 + F.col("s_suppkey") % 5).cast("string")).alias("chrom"), start.alias("start"), (start + 300).alias("end"))
+
+
+@query("J_06_semi", "frag peak", f"SELECT barcode, count(*) AS n FROM frag f WHERE EXISTS (SELECT 1 FROM (SELECT concat('chr', CAST(1 + s_suppkey % 5 AS VARCHAR)) AS chrom, (s_suppkey * 48271) % 99000 AS start, (s_suppkey * 48271) % 99000 + 300 AS \"end\" FROM supplier) p WHERE {_OVER}) GROUP BY 1")
 def _(s, d):
-    return iv.overlap_join(fx.frag(s, d), fx.peak(s, d).where("region_id % 20 = 0"), how="left_semi").groupBy("barcode").agg(F.count("*").alias("n"))
+    return iv.overlap_join(fx.frag(s, d), _spots(s, d), how="left_semi").groupBy("barcode").agg(F.count("*").alias("n"))
 
 
-@query("J_06_FLT_11_anti", "frag peak", f"SELECT barcode, count(*) AS n FROM frag f WHERE NOT EXISTS (SELECT 1 FROM peak p WHERE p.region_id % 20 = 0 AND {_OVER}) GROUP BY 1")
+@query("J_06_FLT_11_anti", "frag peak", f"SELECT barcode, count(*) AS n FROM frag f WHERE NOT EXISTS (SELECT 1 FROM (SELECT concat('chr', CAST(1 + s_suppkey % 5 AS VARCHAR)) AS chrom, (s_suppkey * 48271) % 99000 AS start, (s_suppkey * 48271) % 99000 + 300 AS \"end\" FROM supplier) p WHERE {_OVER}) GROUP BY 1")
 def _(s, d):
-    return iv.overlap_join(fx.frag(s, d), fx.peak(s, d).where("region_id % 20 = 0"), how="left_anti").groupBy("barcode").agg(F.count("*").alias("n"))
+    return iv.overlap_join(fx.frag(s, d), _spots(s, d), how="left_anti").groupBy("barcode").agg(F.count("*").alias("n"))
 
 
-@query("FLT_11_flags", "peak", 'SELECT f.region_id, EXISTS (SELECT 1 FROM peak p WHERE p.region_id % 50 = 0 AND f.chrom = p.chrom AND f.start < p."end" AND p.start < f."end") AS hit FROM peak f')
+@query("FLT_11_flags", "peak", """SELECT f.region_id, EXISTS (SELECT 1 FROM (SELECT concat('chr', CAST(1 + s_suppkey % 5 AS VARCHAR)) AS chrom, (s_suppkey * 48271) % 99000 AS start, (s_suppkey * 48271) % 99000 + 300 AS "end" FROM supplier) p WHERE f.chrom = p.chrom AND f.start < p."end" AND p.start < f."end") AS hit FROM peak f""")
 def _(s, d):
     p = fx.peak(s, d).select("chrom", "start", "end", "region_id")
-    return iv.overlap_flag(p, p.where("region_id % 50 = 0")).select("region_id", "hit")
+    return iv.overlap_flag(p, _spots(s, d)).select("region_id", "hit")
 
 
 @query("J_07_08_NW_01_links", "peak tx", "SELECT upper(gene) AS gene, region_id, min(CASE WHEN tss >= start AND tss < \"end\" THEN 0 ELSE least(abs(start - tss), abs(\"end\" - tss)) END) AS distance FROM (SELECT *, CASE WHEN strand = '+' THEN \"left\" - 1 ELSE \"right\" - 1 END AS tss FROM tx) t JOIN (SELECT chrom AS c, start, \"end\", region_id FROM peak) p ON t.chrom = p.c AND start < CASE WHEN strand = '+' THEN tss + 2500 ELSE tss + 2500 END AND \"end\" > greatest(0, tss - 2500) GROUP BY ALL")
@@ -242,14 +248,14 @@ def _(s, d):
     return link_regions(fx.peak(s, d), fx.tx(s, d), 2500, 2500).select("gene", "region_id", "distance")
 
 
-@query("AGG_15_frip", "frag peak", f"SELECT barcode, round(avg(CASE WHEN EXISTS (SELECT 1 FROM peak p WHERE p.region_id % 20 = 0 AND {_OVER}) THEN 1.0 ELSE 0.0 END), 8) AS frip FROM frag f GROUP BY 1")
+@query("AGG_15_frip", "frag peak", f"SELECT barcode, round(avg(CASE WHEN EXISTS (SELECT 1 FROM (SELECT concat('chr', CAST(1 + s_suppkey % 5 AS VARCHAR)) AS chrom, (s_suppkey * 48271) % 99000 AS start, (s_suppkey * 48271) % 99000 + 300 AS \"end\" FROM supplier) p WHERE {_OVER}) THEN 1.0 ELSE 0.0 END), 8) AS frip FROM frag f GROUP BY 1")
 def _(s, d):
-    return fr.frip(fx.frag(s, d), fx.peak(s, d).where("region_id % 20 = 0")).select("barcode", r("frip"))
+    return fr.frip(fx.frag(s, d), _spots(s, d)).select("barcode", r("frip"))
 
 
-@query("AGG_15_frip_insertions", "frag peak ins", 'SELECT barcode, CAST(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM peak p WHERE p.region_id % 20 = 0 AND p.chrom = f.chrom AND f.pos >= p.start AND f.pos < p."end")) AS DOUBLE) AS frip FROM ins f GROUP BY 1')
+@query("AGG_15_frip_insertions", "frag peak ins", """SELECT barcode, CAST(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM (SELECT concat('chr', CAST(1 + s_suppkey % 5 AS VARCHAR)) AS chrom, (s_suppkey * 48271) % 99000 AS start, (s_suppkey * 48271) % 99000 + 300 AS "end" FROM supplier) p WHERE p.chrom = f.chrom AND f.pos >= p.start AND f.pos < p."end")) AS DOUBLE) AS frip FROM ins f GROUP BY 1""")
 def _(s, d):
-    return fr.frip(fx.frag(s, d), fx.peak(s, d).where("region_id % 20 = 0"), normalized=False, count_insertions=True)
+    return fr.frip(fx.frag(s, d), _spots(s, d), normalized=False, count_insertions=True)
 
 
 _SITES = "sites AS (SELECT DISTINCT chrom, CASE WHEN strand = '+' THEN \"left\" - 1 ELSE \"right\" - 1 END AS tss, strand = '+' AS fwd FROM tx)"
@@ -325,9 +331,9 @@ def _(s, d):
 SQL["AGG_10_coverage_bpm"] = fx.with_sql("frag", _COV.format(s="start - start % 50", e='CAST(ceil("end" / 50.0) * 50 AS BIGINT)') + ', run AS (SELECT * FROM cov WHERE value <> 0 AND "end" IS NOT NULL) SELECT chrom, start, "end", round(value / (SELECT sum(value * (("end" - start) // 50)) / CAST(1e6 AS DOUBLE) FROM run), 6) AS value FROM run').replace(" , ev", ", ev").replace(") , run", "), run")
 
 
-@query("W_03_PRJ_16_smooth", "peak", "SELECT chrom, pos, round(sum(1) / CAST(7 AS DOUBLE), 8) AS value FROM (SELECT chrom, unnest(range(b - 3, b + 4)) AS pos FROM (SELECT chrom, unnest(range(start, \"end\")) AS b FROM peak WHERE region_id % 10 = 0)) WHERE pos >= 0 GROUP BY ALL")
+@query("W_03_PRJ_16_smooth", "peak", "SELECT chrom, pos, round(sum(1) / CAST(7 AS DOUBLE), 8) AS value FROM (SELECT chrom, unnest(range(b - 3, b + 4)) AS pos FROM (SELECT chrom, unnest(range(start, \"end\")) AS b FROM peak)) WHERE pos >= 0 GROUP BY ALL")
 def _(s, d):
-    runs = iv.smooth(iv.coverage(fx.peak(s, d).where("region_id % 10 = 0")), 7)
+    runs = iv.smooth(iv.coverage(fx.peak(s, d)), 7)
     return runs.select("chrom", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), r("value"))
 
 
@@ -556,14 +562,14 @@ def _(s, d):
 _sql_c("LA_02_cosine", ', u AS (SELECT "row", "column", value / sqrt(sum(value * value) OVER (PARTITION BY "row")) AS v FROM sm) SELECT a."row" AS i, b."row" AS j, round(sum(a.v * b.v), 8) AS value FROM u a JOIN u b USING ("column") GROUP BY ALL')
 
 
-@query("LA_03_06_pearson", "coords", 'SELECT a."row" AS i, b."row" AS j, round(greatest(-1, least(1, corr(a.value, b.value))), 6) + CAST(0 AS DOUBLE) AS value FROM coords a JOIN coords b USING ("column") WHERE a."row" < 60 AND b."row" < 60 GROUP BY ALL')
+@query("LA_03_06_pearson", "coords", 'SELECT a."row" AS i, b."row" AS j, round(greatest(-1, least(1, corr(a.value, b.value))), 6) + CAST(0 AS DOUBLE) AS value FROM coords a JOIN coords b USING ("column") GROUP BY ALL')
 def _(s, d):
-    return st.pearson(fx.coords(s, d).where("row < 60")).select("i", "j", r("value", 6))
+    return st.pearson(fx.coords(s, d)).select("i", "j", r("value", 6))
 
 
-@query("LA_04_spearman", "coords", ', k AS (SELECT "row", "column", rank() OVER w + (count(*) OVER (PARTITION BY "row", value) - 1) / CAST(2 AS DOUBLE) AS value FROM coords WHERE "row" < 60 WINDOW w AS (PARTITION BY "row" ORDER BY value)) SELECT a."row" AS i, b."row" AS j, round(greatest(-1, least(1, corr(a.value, b.value))), 6) + CAST(0 AS DOUBLE) AS value FROM k a JOIN k b USING ("column") GROUP BY ALL')
+@query("LA_04_spearman", "coords", ', k AS (SELECT "row", "column", rank() OVER w + (count(*) OVER (PARTITION BY "row", value) - 1) / CAST(2 AS DOUBLE) AS value FROM coords WINDOW w AS (PARTITION BY "row" ORDER BY value)) SELECT a."row" AS i, b."row" AS j, round(greatest(-1, least(1, corr(a.value, b.value))), 6) + CAST(0 AS DOUBLE) AS value FROM k a JOIN k b USING ("column") GROUP BY ALL')
 def _(s, d):
-    return st.spearman(fx.coords(s, d).where("row < 60")).select("i", "j", r("value", 6))
+    return st.spearman(fx.coords(s, d)).select("i", "j", r("value", 6))
 
 
 SQL["LA_04_spearman"] = SQL["LA_04_spearman"].replace(" , k AS", ", k AS")
@@ -809,11 +815,11 @@ def _(s, d):
     return nw.link_tf_to_gene(binding, links)
 
 
-@query("NW_02_correlation", "coords", ', k AS (SELECT "row", "column", rank() OVER w + (count(*) OVER (PARTITION BY "row", value) - 1) / CAST(2 AS DOUBLE) AS value FROM coords WHERE "row" < 40 WINDOW w AS (PARTITION BY "row" ORDER BY value)) SELECT a."row" AS src, b."row" AS dst, round(corr(a.value, b.value), 6) + CAST(0 AS DOUBLE) AS cor_score FROM k a JOIN k b USING ("column") WHERE (a."row" + b."row") % 3 = 0 GROUP BY ALL')
+@query("NW_02_correlation", "coords", ', k AS (SELECT "row", "column", rank() OVER w + (count(*) OVER (PARTITION BY "row", value) - 1) / CAST(2 AS DOUBLE) AS value FROM coords WINDOW w AS (PARTITION BY "row" ORDER BY value)) SELECT a."row" AS src, b."row" AS dst, round(corr(a.value, b.value), 6) + CAST(0 AS DOUBLE) AS cor_score FROM k a JOIN k b USING ("column") WHERE b."row" BETWEEN a."row" + 1 AND a."row" + 40 GROUP BY ALL')
 def _(s, d):
-    m = fx.coords(s, d).where("row < 40").select(F.col("row").alias("id"), F.col("column").alias("cell"), "value")
-    ids = s.range(40)
-    edges = ids.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("dst")).where("(src + dst) % 3 = 0")
+    m = fx.coords(s, d).select(F.col("row").alias("id"), F.col("column").alias("cell"), "value")
+    ids = m.select("id").distinct()
+    edges = ids.select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 40)).alias("dst")).join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
     return nw.correlation_scores(edges, m, m).select("src", "dst", r("cor_score", 6))
 
 
