@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraglens.llm.common import bounds, columns_of, fields, materialise, packed, tune, whole_groups, with_row
+from fraglens.llm.common import bounds, columns_of, discard, fields, materialise, packed, tune, whole_groups, with_row
 from fraglens.llm.suffix import permuted_lcp, suffix_array
 
 WIDTH, GRAM = 400, 32
@@ -333,11 +333,13 @@ def repeated_spans(docs: DataFrame, words: int | None = None) -> DataFrame:
     which stands for all of it.
     """
     found = materialise(docs.select("t", "text").mapInArrow(_occurrences(words), "key long, words boolean, t binary, at array<struct<first: int, n: int, place: int>>"))
-    often = found.groupBy("key").agg((F.min("t") < F.max("t")).alias("apart"), F.max(F.size("at")).alias("most")).where("apart or most > 1").select("key")
+    texts_of = F.xxhash64("t")  # narrower than t, and no sort is needed to compare it
+    often = found.groupBy("key").agg(F.min(texts_of).alias("low"), F.max(texts_of).alias("high"), F.max(F.size("at")).alias("most")).where("low < high or most > 1").select("key")
     asked = found.join(often, "key", "left_semi").groupBy("t").agg(F.collect_set(F.struct("key", "words", "at")).alias("asked"))
     texts = docs.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     source = docs.select("t", "doc_id", "text").alias("d").join(asked.join(texts, "t").alias("a"), F.expr("d.t = a.t and d.doc_id <=> a.doc_id")).select("d.t", "d.text", "a.asked")
     cut = materialise(source.mapInArrow(_cut(words), "key long, words boolean, digest binary, t binary, firsts array<int>, place int, content binary"))
+    discard(found)
     cut = cut.withColumn("copies", F.size("firsts").cast("long"))
     spans = "key long, digest binary, spans array<struct<lo: int, hi: int>>"
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
