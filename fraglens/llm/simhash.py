@@ -281,6 +281,8 @@ def simhash_components(docs: DataFrame, width: int = 3, tau: int = 3) -> DataFra
 ORDER_DOCS, COMMON = 8192, 65536
 #: Pairs of a prefix shingle, per row, that are all verified at once; while there are more, chains are verified first.
 PAIRS_PER_ROW, CHAINS = 16, 6
+#: A further chain is worth its round if one in so many pairs of the last one linked.
+WORTH = 16
 SPOTS = 1024
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(32))
 
@@ -430,7 +432,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     left = cells.withColumn("label", F.col("node"))
     linked = tried = spark.createDataFrame([], "u long, v long")
+    worth = True
     for chain in [*range(CHAINS), None]:
+        if not worth:
+            chain = None
         if chain:
             per = left.groupBy("token", "label").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
             size = per.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") - F.col("own")).alias("pairs")).first()
@@ -441,9 +446,11 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         likely = materialise(drawn.mapInArrow(alike, "u long, v long"))
         text = texts_of(likely)
         both = likely.join(text.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(text.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-        linked = linked.unionByName(materialise(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")))
+        fresh = materialise(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
+        linked = linked.unionByName(fresh)
         if chain is None:
             break
+        worth = fresh.count() * WORTH >= pairs.count()
         tried = tried.unionByName(pairs)
         labels = connected_components(linked)
         labelled = cells.join(labels, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("label"))

@@ -555,3 +555,27 @@ def test_pipeline_stages(spark, docs):
         after = {r.doc_id: r.text for r in step.collect()}
         assert step.columns == pipeline.COLUMNS and set(after) <= set(before), name
     assert pipeline.STAGES[-1][1](spark, step, "").select("doc_id").distinct().count() == len(after)
+
+
+def test_components_in_blocks_and_rounds(spark, monkeypatch):
+    """Chains, hubs, loops, repeats and null ends give the same roots in one block and over star rounds."""
+    from fraglens.llm import components
+
+    edges = [(i, i + 1) for i in range(1000, 1120)] + [(2000, 2000 + i) for i in range(150)] + [(i * 37 % 400, i * 91 % 400) for i in range(260)] + [(None, 3), (7, None), (5, 5), (1000, 1001)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    want = {(x, top(x)) for x in list(up) if top(x) != x}
+    df = spark.createDataFrame(edges, "u long, v long")
+    assert {tuple(x) for x in components.connected_components(df).collect()} == want
+    monkeypatch.setattr(components, "BLOCK", 64)
+    assert {tuple(x) for x in components.connected_components(df).collect()} == want
+    assert components.connected_components(df.limit(0)).count() == 0
