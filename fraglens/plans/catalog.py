@@ -687,10 +687,10 @@ def _(s, d):
     return cl.relabel(_points(s, d).select("id", F.col("label").alias("cluster")), 60)
 
 
-@query("CT_01_consensus", sql="WITH r AS (SELECT r AS run, c_custkey % 60 AS id, (c_custkey * r) % 4 AS l FROM customer, (SELECT unnest([3, 5, 6, 7]) AS r) WHERE c_custkey <= 60) SELECT a.id AS i, b.id AS j, count(*) / CAST(4 AS DOUBLE) AS m FROM r a JOIN r b USING (run, l) GROUP BY ALL")
+@query("CT_01_consensus", sql="WITH r AS (SELECT r AS run, s_suppkey AS id, (s_suppkey * r) % 4 AS l FROM supplier, (SELECT unnest([3, 5, 6, 7]) AS r)) SELECT a.id AS i, b.id AS j, count(*) / CAST(4 AS DOUBLE) AS m FROM r a JOIN r b USING (run, l) GROUP BY ALL")
 def _(s, d):
-    c = fx.table(s, d, "customer").where("c_custkey <= 60")
-    runs = c.select(F.explode(F.array(*map(F.lit, (3, 5, 6, 7)))).alias("run"), "c_custkey").select("run", (F.col("c_custkey") % 60).alias("id"), (F.col("c_custkey") * F.col("run") % 4).alias("label"))
+    points = fx.table(s, d, "supplier")
+    runs = points.select(F.explode(F.array(*map(F.lit, (3, 5, 6, 7)))).alias("run"), "s_suppkey").select("run", F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * F.col("run") % 4).alias("label"))
     return cl.consensus(runs)
 
 
