@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraglens.operators.matrix import idf, tf_idf
+from fraglens.operators.stats import cosine, jaccard
 from fraglens.operators.steps import cut
 
 #: Cells whose similarities are decomposed on the driver; the others are projected.
@@ -94,3 +95,57 @@ def layout(points: DataFrame, n_comps: int = 2) -> DataFrame:
 
     data = points.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("f"))
     return PCA(k=n_comps, inputCol="f", outputCol="o").fit(data).transform(data).select("id", vector_to_array("o").alias("v"))
+
+
+def dense_spectral(x: DataFrame, n_comps: int = 30, metric: str = "jaccard", most: int = LANDMARKS, gamma: float | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(barcode, v) and eigenvalues of the whole similarity matrix of up to `most` cells; more raise ValueError.
+
+    Jaccard similarities are divided by what a linear fit expects of the cells' shares of present features, and cut at
+    their 0.999 quantile. rbf is exp(-gamma * squared distance), gamma one over the number of features by default.
+    """
+    x = cut(x.where("value <> 0"))
+    shares = x.groupBy("barcode").agg(F.countDistinct("feature_id").alias("n")).orderBy("barcode").limit(most + 1).toPandas()
+    if len(shares) > most:
+        raise ValueError(f"over {most} cells: use spectral")
+    at = {c: i for i, c in enumerate(shares["barcode"])}
+    features = x.select("feature_id").distinct().count()
+    long = x.select(F.col("barcode").alias("row"), F.col("feature_id").alias("column"), F.col("value").cast("double").alias("value"))
+    if metric == "rbf":
+        met = long.join(long.toDF("j", "column", "b"), "column").groupBy(F.col("row").alias("i"), "j").agg(F.sum(F.col("value") * F.col("b")).alias("value"))
+    else:
+        met = {"jaccard": jaccard, "cosine": cosine}[metric](long)
+    pdf = met.toPandas()
+    s = np.zeros((len(at), len(at)))
+    s[pdf["i"].map(at), pdf["j"].map(at)] = pdf["value"]
+    if metric == "rbf":
+        norm = np.diag(s)
+        s = np.exp(-(1 / features if gamma is None else gamma) * np.maximum(0, norm[:, None] + norm - 2 * s))
+    elif metric == "jaccard":
+        share = shares["n"].to_numpy() / features
+        chance = 1 / (1 / share[:, None] + 1 / share - 1)
+        off = ~np.eye(len(at), dtype=bool)
+        if off.any() and np.ptp(chance[off]) > 0:
+            slope, base = np.polyfit(chance[off], s[off], 1)
+        else:
+            slope, base = 0.0, 1.0
+        s = s / np.maximum(slope * chance + base, 1e-12)
+        s = np.clip(s, 0, np.quantile(s[off], 0.999) if off.any() else 1)
+    np.fill_diagonal(s, 1)
+    values, vectors, _ = scaled_eigen(s, min(n_comps, len(at)))
+    rows = [(c, vectors[i].tolist()) for c, i in at.items()]
+    return x.sparkSession.createDataFrame(rows, "barcode string, v array<double>"), values
+
+
+def unit_components(points: DataFrame, n_comps: int = 2) -> DataFrame:
+    """(id, v): centred principal component scores of points (id, v) divided by their singular values; 0 without spread."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    data = cut(points.select("id", F.col("v").cast("array<double>").alias("v"))).select("id", array_to_vector("v").alias("f"))
+    mean = data.agg(Summarizer.mean(F.col("f")).alias("m")).first()["m"]
+    model = PCA(k=n_comps, inputCol="f", outputCol="o").fit(data)
+    shift = [float(v) for v in model.pc.toArray().T @ mean.toArray()]
+    scores = model.transform(data).select("id", F.zip_with(vector_to_array("o"), F.array(*map(F.lit, shift)), lambda a, b: a - b).alias("v"))
+    size = scores.agg(*(F.sqrt(F.sum(F.col("v")[k] * F.col("v")[k])).alias(f"s{k}") for k in range(n_comps)))
+    return scores.join(F.broadcast(size)).select("id", F.array(*(F.coalesce(F.try_divide(F.col("v")[k], F.col(f"s{k}")), F.lit(0.0)) for k in range(n_comps))).alias("v"))

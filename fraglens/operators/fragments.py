@@ -179,3 +179,11 @@ def frip(frags: DataFrame, regions: DataFrame, normalized: bool = True, count_in
     per_cell = rows.groupBy(group).agg(F.sum("n").alias("all")).join(hit, group, "left")
     hits = F.coalesce("hits", F.lit(0)).cast("double")
     return per_cell.select(group, (hits / F.col("all") if normalized else hits).alias("frip"))
+
+
+def prefilter(frags: DataFrame, least: int, whitelist: DataFrame | None = None) -> DataFrame:
+    """Fragments of barcodes with at least `least` records as they were read, before any other filter, that are whitelisted if there is a list."""
+    known = frags.groupBy("barcode").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("barcode")
+    if whitelist is not None:
+        known = known.join(whitelist, "barcode", "left_semi")
+    return frags.join(known, "barcode", "left_semi")

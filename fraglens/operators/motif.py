@@ -90,10 +90,10 @@ def scan(sequences: DataFrame, motifs: list[Motif], p_value: float = 1e-5, both_
     return sequences.select("region_id", "seq").mapInPandas(run, f"region_id {kind}, motif_id string")
 
 
-def enrichment(hits: DataFrame, groups: DataFrame, background: DataFrame, method: str = "binomial") -> DataFrame:
+def enrichment(hits: DataFrame, groups: DataFrame, background: DataFrame, method: str = "binomial", strict: bool = False) -> DataFrame:
     """(group, motif_id, log2_fc, p_value, q_value) of hits (region_id, motif_id) in regions (group, region_id) against background regions.
 
-    Upper tail (at least as many) where the fold change is at least 1, else the lower one.
+    Upper tail (at least as many; more, if strict) where the fold change is at least 1, else the lower one.
     """
     total = groups.groupBy("group").agg(F.countDistinct("region_id").alias("n"))
     size = background.agg(F.countDistinct("region_id").alias("bg_n"))
@@ -108,10 +108,10 @@ def enrichment(hits: DataFrame, groups: DataFrame, background: DataFrame, method
             for g, m, n, bk, k, bn in pdf[["group", "motif_id", "n", "bg_k", "k", "bg_n"]].itertuples(index=False):
                 fc = float(np.log2(((k + 1) / (n + 1)) / ((bk + 1) / (bn + 1))))
                 if method == "hypergeometric":
-                    p = hypergeometric_sf(k - 1, bn, bk, n) if fc >= 0 else hypergeometric_cdf(k, bn, bk, n)
+                    p = hypergeometric_sf(k - (not strict), bn, bk, n) if fc >= 0 else hypergeometric_cdf(k, bn, bk, n)
                 else:
                     rate = bk / bn if bn else 0.0
-                    p = binomial_sf(k - 1, n, rate) if fc >= 0 else binomial_cdf(k, n, rate)
+                    p = binomial_sf(k - (not strict), n, rate) if fc >= 0 else binomial_cdf(k, n, rate)
                 rows.append((g, m, fc, max(p, 1e-300)))
             yield pd.DataFrame(rows, columns=["group", "motif_id", "log2_fc", "p_value"])
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraglens.operators.fragments import promoters
 from fraglens.operators.intervals import overlap_join
-from fraglens.operators.stats import average_ranks
+from fraglens.operators.stats import average_ranks, zscore
 from fraglens.operators.steps import cut
 
+#: Cells of a child that a task of a regression holds.
+PART = 1 << 16
+
 
 def link_regions(regions: DataFrame, tx: DataFrame, upstream: int = 250_000, downstream: int = 250_000, coding_only: bool = False) -> DataFrame:
     """(gene, region_id, distance): regions in the domain of a gene's transcripts (no body), least distance to a start.
@@ -93,3 +98,63 @@ def edge_stats(edges: DataFrame, cuts: tuple[int, ...] = (100, 500, 2000, 20_000
     for c in reversed(cuts):
         bucket = F.when(F.col("distance") <= c, F.lit(f"<={c}")).otherwise(bucket)
     return edges.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+
+
+def training_pairs(edges: DataFrame, parents: DataFrame, children: DataFrame, scale_x: bool = False, scale_y: bool = False) -> DataFrame:
+    """(dst, cell, src, x, y): what each child of edges (src, dst) is predicted from, with its parents in the order of their ids.
+
+    parents and children are (cell, id, value), dense over the same cells; scaling is to z-scores per id.
+    """
+
+    def side(m: DataFrame, scale: bool, key: str, name: str) -> DataFrame:
+        value = F.coalesce("z", F.lit(0.0)) if scale else F.col("value").cast("double")
+        return (zscore(m, "id") if scale else m).select(F.col("id").alias(key), "cell", value.alias(name))
+
+    inputs = edges.select("src", "dst").distinct().join(side(parents, scale_x, "src", "_x"), "src")
+    rows = inputs.groupBy("dst", "cell").agg(F.sort_array(F.collect_list(F.struct("src", "_x"))).alias("_in"))
+    return rows.join(side(children, scale_y, "dst", "y"), ["dst", "cell"]).select("dst", "cell", F.col("_in.src").alias("src"), F.col("_in._x").alias("x"), "y")
+
+
+def elastic_net(gram: np.ndarray, alpha: float, l1_ratio: float, positive: bool = False, rounds: int = 10_000, tolerance: float = 1e-10) -> tuple[np.ndarray, float]:
+    """Coefficients and R2 by coordinate descent on the products of the columns (1, x, y), summed over the rows.
+
+    Least squares over 2n, plus alpha * l1_ratio * |b| and alpha * (1 - l1_ratio) / 2 * b^2, with a free intercept. R2 is 0
+    where y has no spread.
+    """
+    n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
+    cov = gram[1:, 1:] / n - np.outer(mean, mean)
+    xx, xy, yy = cov[:-1, :-1], cov[:-1, -1], cov[-1, -1]
+    beta = np.zeros(len(xy))
+    for _ in range(rounds):
+        most = 0.0
+        for k in range(len(beta)):
+            rest = xy[k] - xx[k] @ beta + xx[k, k] * beta[k]
+            size = max(0.0, abs(rest) - alpha * l1_ratio) / max(xx[k, k] + alpha * (1 - l1_ratio), 1e-300)
+            new = 0.0 if positive and rest < 0 or xx[k, k] <= 0 else float(np.copysign(size, rest))
+            most, beta[k] = max(most, abs(new - beta[k])), new
+        if most <= tolerance:
+            break
+    return beta, float(1 - (yy - 2 * beta @ xy + beta @ xx @ beta) / yy) if yy > 1e-300 else 0.0
+
+
+def regression_scores(edges: DataFrame, parents: DataFrame, children: DataFrame, alpha: float = 1.0, l1_ratio: float = 0.5, positive: bool = False, scale_x: bool = False, scale_y: bool = False) -> DataFrame:
+    """(src, dst, regr_score, fitness): coefficients of each child's elastic net on its parents, and the fit's R2.
+
+    Cells are summed to products of columns in parts, so a task holds PART cells of a child, or the square of its number of
+    parents, whatever the number of cells.
+    """
+    pairs = training_pairs(edges, parents, children, scale_x, scale_y)
+    kinds = dict(pairs.dtypes)
+    parts = 1 + children.select("cell").distinct().count() // PART
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.column_stack([np.ones(len(pdf)), np.stack(pdf["x"].to_list()), pdf["y"].to_numpy()])
+        return pd.DataFrame({"dst": pdf["dst"].iloc[:1], "src": pdf["src"].iloc[:1], "gram": [(m.T @ m).ravel()]})
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        src = pdf["src"].iloc[0]
+        beta, fitness = elastic_net(np.sum(pdf["gram"].to_list(), axis=0).reshape(len(src) + 2, -1), alpha, l1_ratio, positive)
+        return pd.DataFrame({"src": src, "dst": pdf["dst"].iloc[0], "regr_score": beta, "fitness": fitness})
+
+    sums = pairs.groupBy("dst", F.pmod(F.xxhash64("cell"), F.lit(parts)).alias("part")).applyInPandas(products, f"dst {kinds['dst']}, src {kinds['src']}, gram array<double>")
+    return sums.groupBy("dst").applyInPandas(fit, f"src {kinds['src'][6:-1]}, dst {kinds['dst']}, regr_score double, fitness double")

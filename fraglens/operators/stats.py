@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -227,3 +228,45 @@ def overlap_scores(rows: DataFrame, ref: str, query: str, cluster: str) -> DataF
     """(ref, query, score): sum over clusters of the smaller of both labels' shares."""
     share = lambda c: (lambda d: d.join(d.groupBy(c).agg(F.sum("_n").alias("_t")), c).select(c, cluster, (F.col("_n") / F.col("_t")).alias(f"_p{c}")))(rows.where(F.col(c).isNotNull()).groupBy(c, cluster).agg(F.count("*").cast("double").alias("_n")))
     return share(ref).join(share(query), cluster).groupBy(ref, query).agg(F.sum(F.least(f"_p{ref}", f"_p{query}")).alias("score"))
+
+
+def pairwise(x: DataFrame, other: DataFrame | None = None, term: Callable[[Column, Column], Column] = lambda a, b: (a - b) * (a - b), combine: Callable[[Column], Column] = F.sum, finish: Callable[[Column], Column] = F.sqrt, row: str = "row", column: str = "column") -> DataFrame:
+    """(i, j, value) of dense rows by any distance: finish(combine(term(a, b) over the columns)); Euclidean by default."""
+    side = lambda d, key, name: d.select(F.col(row).alias(key), column, F.col("value").cast("double").alias(name))
+    met = side(x, "i", "_a").join(side(other if other is not None else x, "j", "_b"), column)
+    return met.groupBy("i", "j").agg(combine(term(F.col("_a"), F.col("_b"))).alias("_v")).select("i", "j", finish(F.col("_v")).alias("value"))
+
+
+def mask_or(*masks: DataFrame, key: str = "feature_id") -> DataFrame:
+    """(key, selected): whether any of the masks (key, selected) holds; null counts as false."""
+    rows = functools.reduce(DataFrame.unionByName, (m.select(key, "selected") for m in masks))
+    return rows.groupBy(key).agg(F.coalesce(F.bool_or("selected"), F.lit(False)).alias("selected"))
+
+
+def diagonal_score(scores: DataFrame, ref_groups: DataFrame, query_groups: DataFrame) -> DataFrame:
+    """One row: the sum of the mean scores of equal groups over that of different ones.
+
+    scores are (ref, query, score), absent pairs 0; the groups are (ref, ref_group) and (query, query_group).
+    """
+    sums = scores.join(ref_groups, "ref").join(query_groups, "query").groupBy("ref_group", "query_group").agg(F.sum("score").alias("_s"))
+    size = lambda d, by: d.groupBy(by).agg(F.count("*").cast("double").alias(f"_n_{by}"))
+    mean = F.col("_s") / (F.col("_n_ref_group") * F.col("_n_query_group"))
+    same = F.col("ref_group") == F.col("query_group")
+    blocks = sums.join(size(ref_groups, "ref_group"), "ref_group").join(size(query_groups, "query_group"), "query_group")
+    return blocks.agg(F.try_divide(F.sum(F.when(same, mean).otherwise(0.0)), F.sum(F.when(~same, mean).otherwise(0.0))).alias("score"))
+
+
+def quality_density(cells: DataFrame, least: int = 500, per_decade: int = 10, per_unit: int = 2) -> DataFrame:
+    """(size_bin, tsse_bin, n): cells (n_fragment, tsse) on a grid of log10 n_fragment and tsse."""
+    at = lambda c, k: F.floor(F.round(c, 6) * k).cast("long")
+    return cells.where(F.col("n_fragment") >= least).groupBy(at(F.log10("n_fragment"), per_decade).alias("size_bin"), at(F.col("tsse"), per_unit).alias("tsse_bin")).agg(F.count("*").alias("n"))
+
+
+def region_heat_map(x: DataFrame, groups: DataFrame, sizes: DataFrame, features: DataFrame | None = None, cell: str = "barcode", feature: str = "feature_id") -> DataFrame:
+    """(group, feature, value): log2(1 + RPKM), of the chosen features if any are given; RPKM is over all of them."""
+    from fraglens.operators.matrix import aggregate_x
+
+    rpkm = aggregate_x(x, groups, "RPKM", sizes, cell, feature)
+    if features is not None:
+        rpkm = rpkm.join(features.select(feature).distinct(), feature, "left_semi")
+    return rpkm.select("group", feature, F.log2(1 + F.col("value")).alias("value"))

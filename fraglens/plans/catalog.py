@@ -879,3 +879,127 @@ def _(s, d):
 def _(s, d):
     p = _points(s, d)
     return ig.anchors(p.where("id % 2 = 0"), p.where("id % 2 = 1"))
+
+
+# ---- orders, masks, trees, regressions -----------------------------------------------------------------------------
+
+from fraglens.functions.text import natural_key  # noqa: E402
+
+
+@query("ORD_10_natural_sort", sql="SELECT 'nation ' || n_nationkey AS name, row_number() OVER (ORDER BY n_nationkey) AS place FROM nation")
+def _(s, d):
+    names = fx.table(s, d, "nation").select(F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("name"))
+    return names.select("name", F.row_number().over(Window.orderBy(natural_key("name"))).cast("long").alias("place"))
+
+
+@query("FLT_05_prefilter", "frag", "SELECT barcode, count(*) AS n FROM frag WHERE CAST(substr(barcode, 3) AS INTEGER) > 20 GROUP BY 1 HAVING count(*) >= 60")
+def _(s, d):
+    f = fx.frag(s, d)
+    white = f.select("barcode").distinct().where("cast(substr(barcode, 3) as int) > 20")
+    return fr.prefilter(f, 60, white).groupBy("barcode").agg(F.count("*").alias("n"))
+
+
+@query("SET_04_mask_or", sql="SELECT p_partkey AS feature_id, p_size > 25 OR coalesce(p_retailprice > 1500, false) AS selected FROM part")
+def _(s, d):
+    p = fx.table(s, d, "part").withColumnRenamed("p_partkey", "feature_id")
+    return st.mask_or(p.select("feature_id", (F.col("p_size") > 25).alias("selected")), p.select("feature_id", (F.col("p_retailprice") > 1500).alias("selected")))
+
+
+@query("LA_05_pairwise", "coords", 'SELECT a."row" AS i, b."row" AS j, round(max(abs(a.value - b.value)), 8) AS value FROM coords a JOIN coords b USING ("column") GROUP BY ALL')
+def _(s, d):
+    return st.pairwise(fx.coords(s, d), term=lambda a, b: F.abs(a - b), combine=F.max, finish=lambda v: v).select("i", "j", r("value"))
+
+
+@query("CT_09_diagonal_score")
+def _(s, d):
+    scores = QUERIES["CT_08_overlap_scores"](s, d)
+    one = scores.select("ref").distinct().withColumn("ref_group", F.when(F.col("ref") < "3", "a").otherwise("b"))
+    two = scores.select("query").distinct().withColumn("query_group", F.when(F.col("query") == "F", "a").otherwise("b"))
+    return st.diagonal_score(scores, one, two).select(r("score", 6))
+
+
+SQL["CT_09_diagonal_score"] = f"""
+WITH sc AS ({SQL["CT_08_overlap_scores"]}), a AS (SELECT DISTINCT "ref", CASE WHEN "ref" < '3' THEN 'a' ELSE 'b' END AS rg FROM sc), b AS (SELECT DISTINCT query, CASE WHEN query = 'F' THEN 'a' ELSE 'b' END AS qg FROM sc),
+m AS (SELECT rg, qg, avg(coalesce(score, 0)) AS m FROM a CROSS JOIN b LEFT JOIN sc USING ("ref", query) GROUP BY ALL)
+SELECT round(sum(m) FILTER (WHERE rg = qg) / sum(m) FILTER (WHERE rg <> qg), 6) AS score FROM m"""
+
+
+@query("PL_02_tsse_density")
+def _(s, d):
+    cells = fr.cell_qc(fx.frag(s, d), ["chr5"]).select("barcode", "n_fragment").join(fr.tsse(fx.frag(s, d), fr.tss(fx.tx(s, d))).select("barcode", "tsse"), "barcode")
+    return st.quality_density(cells, 20)
+
+
+SQL["PL_02_tsse_density"] = f"""
+WITH q AS ({SQL["AGG_01_cell_qc"]}), t AS ({SQL["AGG_17_W_01_tsse"]})
+SELECT CAST(floor(round(log10(n_fragment), 6) * 10) AS BIGINT) AS size_bin, CAST(floor(round(tsse, 6) * 2) AS BIGINT) AS tsse_bin, count(*) AS n FROM q JOIN t USING (barcode) WHERE n_fragment >= 20 GROUP BY ALL"""
+
+
+@query("PL_05_region_heat_map")
+def _(s, d):
+    x = _x(s, d)
+    sizes = x.select("feature_id").distinct().withColumn("size", F.lit(5000))
+    return st.region_heat_map(x, fx.cell_groups(s, d), sizes).select("group", "feature_id", r("value", 6))
+
+
+_sql_x("PL_05_region_heat_map", 'SELECT "group", feature_id, round(log2(1 + v / (sum(v) OVER (PARTITION BY "group") / CAST(1e6 AS DOUBLE)) / 5), 6) AS value FROM (SELECT "group", feature_id, CAST(sum(value) AS DOUBLE) AS v FROM x JOIN grp USING (barcode) GROUP BY ALL)')
+
+
+def _motif_rows() -> str:
+    return ", ".join(f"('{m.id}', {k}, {', '.join(f'CAST({p} AS DOUBLE)' for p in row)})" for m in _MOTIFS for k, row in enumerate(m.pwm))
+
+
+@query("ST_09_information", sql=f"WITH p AS (SELECT id, k, unnest([a, c, g, t]) AS p FROM (VALUES {_motif_rows()}) v(id, k, a, c, g, t)), f AS (SELECT id, k, CASE WHEN p = 0 THEN CAST(1e-4 AS DOUBLE) ELSE p END AS p FROM p), n AS (SELECT id, k, p / sum(p) OVER (PARTITION BY id, k) AS p FROM f) SELECT id AS motif_id, round(2 * count(DISTINCT k) + sum(p * log2(p)), 8) AS information FROM n GROUP BY 1")
+def _(s, d):
+    return s.createDataFrame([(m.id, m.information()) for m in _MOTIFS], "motif_id string, information double").select("motif_id", r("information"))
+
+
+@query("ST_10_background_test")
+def _(s, d):
+    seqs = _sequences(s, d)
+    groups = seqs.select(F.concat(F.lit("g"), (F.col("region_id") % 3).cast("string")).alias("group"), "region_id")
+    return mo.enrichment(mo.scan(seqs, _MOTIFS, 1e-3), groups, seqs, strict=True)
+
+
+def _network(s, d, step: int):
+    m = fx.coords(s, d).select(F.col("row").alias("id"), F.col("column").alias("cell"), "value")
+    ids = m.select("id").distinct()
+    edges = ids.select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + step)).alias("dst")).join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return edges.select("src", "dst"), m
+
+
+@query("NW_03_regression", "coords", ', m AS (SELECT a."row" AS src, b."row" AS dst, covar_pop(a.value, b.value) AS c, var_pop(a.value) AS v, var_pop(b.value) AS w FROM coords a JOIN coords b USING ("column") WHERE b."row" = a."row" + 1 GROUP BY ALL), f AS (SELECT src, dst, c, v, w, sign(c) * greatest(abs(c) - CAST(0.0005 AS DOUBLE), 0) / (v + CAST(0.0005 AS DOUBLE)) AS b FROM m) SELECT src, dst, round(b, 6) + CAST(0 AS DOUBLE) AS regr_score, round(1 - (w - 2 * b * c + b * b * v) / w, 6) + CAST(0 AS DOUBLE) AS fitness FROM f')
+def _(s, d):
+    edges, m = _network(s, d, 1)
+    return nw.regression_scores(edges, m, m, alpha=0.001).select("src", "dst", r("regr_score", 6), r("fitness", 6))
+
+
+SQL["NW_03_regression"] = SQL["NW_03_regression"].replace(" , m AS", ", m AS")
+
+
+@query("NW_04_training_pairs", "coords", 'SELECT b."row" AS dst, b."column" AS cell, count(*) AS n, round(sum(a.value), 8) + CAST(0 AS DOUBLE) AS total, round(b.value, 8) + CAST(0 AS DOUBLE) AS y FROM coords a JOIN coords b USING ("column") WHERE b."row" BETWEEN a."row" + 1 AND a."row" + 3 GROUP BY b."row", b."column", b.value')
+def _(s, d):
+    edges, m = _network(s, d, 3)
+    return nw.training_pairs(edges, m, m).select("dst", "cell", F.size("x").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 8).alias("total") + 0.0, r("y")).toDF("dst", "cell", "n", "total", "y")
+
+
+@query("CL_08_group_tree")
+def _(s, d):
+    rpm = mx.aggregate_x(_x(s, d), fx.cell_groups(s, d), "RPM")
+    near = st.cosine(rpm.select(F.col("group").alias("row"), F.col("feature_id").alias("column"), "value"))
+    return cl.group_tree(near.select("i", "j", (1 - F.col("value")).alias("value")))
+
+
+@query("CL_07_pseudo_cells")
+def _(s, d):
+    return cl.pseudo_cells(_points(s, d), min_size=20, neighbours=15)
+
+
+@query("LA_13_dense_spectral")
+def _(s, d):
+    return em.dense_spectral(_x(s, d), 10)[0]
+
+
+@query("CT_07_unit_components")
+def _(s, d):
+    return em.unit_components(_points(s, d), 5)

@@ -65,3 +65,11 @@ def write_bundle(tables: dict[str, DataFrame], path: str, partition_by: dict[str
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
         writer.parquet(f"{path}/{name}.parquet")
+
+
+def export_tags(frags: DataFrame, groups: DataFrame, path: str, replicates: DataFrame | None = None, most: int | None = None, selections: list[str] | None = None, compression: str | None = "gzip") -> None:
+    """A folder per group, and replicate (barcode, replicate) if there are any, of the fragments that peaks are called from."""
+    named = groups if selections is None else groups.where(F.col("group").isin(*selections))
+    if replicates is not None:
+        named = named.join(replicates, "barcode").select("barcode", F.concat_ws("_", "group", F.col("replicate").cast("string")).alias("group"))
+    export_fragments(frags, named, path, most=most, compression=compression)
