@@ -149,3 +149,29 @@ def unit_components(points: DataFrame, n_comps: int = 2) -> DataFrame:
     scores = model.transform(data).select("id", F.zip_with(vector_to_array("o"), F.array(*map(F.lit, shift)), lambda a, b: a - b).alias("v"))
     size = scores.agg(*(F.sqrt(F.sum(F.col("v")[k] * F.col("v")[k])).alias(f"s{k}") for k in range(n_comps)))
     return scores.join(F.broadcast(size)).select("id", F.array(*(F.coalesce(F.try_divide(F.col("v")[k], F.col(f"s{k}")), F.lit(0.0)) for k in range(n_comps))).alias("v"))
+
+
+def truncated_svd(x: DataFrame, n_comps: int = 30, landmarks: int = LANDMARKS) -> tuple[DataFrame, np.ndarray]:
+    """(feature_id, v) loadings and singular values of the matrix (barcode, feature_id, value), fitted on up to `landmarks` cells."""
+    chosen = x.select("barcode").distinct().orderBy(F.xxhash64("barcode"), "barcode").limit(landmarks)
+    local = x.join(F.broadcast(chosen), "barcode").toPandas()
+    features = sorted(local["feature_id"].unique())
+    m = _dense(local, {c: i for i, c in enumerate(sorted(local["barcode"].unique()))}, {f: i for i, f in enumerate(features)})
+    _, values, vt = np.linalg.svd(m, full_matrices=False)
+    vt, values = vt[:n_comps], values[:n_comps]
+    vt = vt * np.where(vt[np.arange(len(vt)), np.abs(vt).argmax(axis=1)] < 0, -1, 1)[:, None]
+    table = pd.DataFrame({"feature_id": features, "v": vt.T.tolist()})
+    return x.sparkSession.createDataFrame(table, f"feature_id {dict(x.dtypes)['feature_id']}, v array<double>"), values
+
+
+def project(x: DataFrame, loadings: DataFrame, n_comps: int) -> DataFrame:
+    """(barcode, v): cells of the matrix on the loadings (feature_id, v); features without loadings count as 0."""
+    met = x.join(loadings, "feature_id")
+    return met.groupBy("barcode").agg(F.array(*(F.sum(F.col("value") * F.col("v")[k]) for k in range(n_comps))).alias("v"))
+
+
+def lsi(x: DataFrame, n_comps: int = 30, landmarks: int = LANDMARKS) -> tuple[DataFrame, np.ndarray]:
+    """(barcode, v) and singular values of the tf-idf matrix."""
+    unit = cut(tf_idf(x, idf(x, "lsi")).where("value <> 0").select("barcode", "feature_id", "value"))
+    loadings, values = truncated_svd(unit, n_comps, landmarks)
+    return project(unit, loadings, len(values)), values

@@ -611,6 +611,7 @@ from fraglens.operators import motif as mo  # noqa: E402
 from fraglens.operators import neighbors as ne  # noqa: E402
 from fraglens.operators import network as nw  # noqa: E402
 from fraglens.operators import peaks as pk  # noqa: E402
+from fraglens.operators import recipe as rc  # noqa: E402
 from fraglens.operators import steps  # noqa: E402
 
 
@@ -752,6 +753,12 @@ def _(s, d):
     return al.fragments_single(al.usable(al.with_barcode(fx.alignments(s, d), r"^(BC\d+):"), paired=False))
 
 
+SQL["AGG_05_dedup_single"] = f"""
+WITH l AS (SELECT {fx._BC} AS barcode, concat('chr', CAST(1 + l_suppkey % 5 AS VARCHAR)) AS chrom, {fx._START} % 500 AS p, l_linenumber % 2 = 1 AS odd, unnest([1, 2]) AS mate, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 11 <> 0 AND l_partkey % 13 <> 0 AND (l_partkey + l_suppkey) % 61 >= 30),
+e AS (SELECT chrom, barcode, CASE WHEN mate = 1 THEN '+' ELSE '-' END AS strand, CASE WHEN mate = 1 THEN p ELSE p + 150 END AS start, CASE WHEN odd THEN 45 ELSE 50 END AS span, CASE WHEN mate = 2 THEN p + 199 WHEN odd THEN p - 5 ELSE p END AS five, 1000 + (l_orderkey*31 + l_partkey*17 + mate*7) % 900 AS quality, concat(barcode, ':', l_orderkey, '.', l_linenumber, '.', l_partkey, '.', l_suppkey) AS name FROM l)
+SELECT chrom, start, start + span AS "end", barcode, CAST(n AS INTEGER) AS count, strand FROM (SELECT *, count(*) OVER (PARTITION BY barcode, chrom, strand, five) AS n, row_number() OVER (PARTITION BY barcode, chrom, strand, five ORDER BY quality DESC, name DESC) AS k FROM e) WHERE k = 1"""
+
+
 # ---- peaks, motifs, networks ---------------------------------------------------------------------------------------
 
 
@@ -780,7 +787,7 @@ SQL["PK_03_FLT_15_reproducible"] = SQL["PK_03_FLT_15_reproducible"].replace(" ,
 
 @query("PK_01_call_peaks")
 def _(s, d):
-    return pk.call_peaks(fx.frag(s, d).join(fx.cell_groups(s, d), "barcode"), fx.chroms(s, d))
+    return pk.call_peaks(fx.frag_peaked(s, d).join(fx.cell_groups(s, d), "barcode"), fx.chroms(s, d))
 
 
 @query("PK_02_narrow_table", sql="SELECT concat('chr', CAST(1 + p_partkey % 5 AS VARCHAR)) AS chrom, (p_partkey*48271) % 99000 AS start, (p_partkey*48271) % 99000 + 100 + p_size*10 AS \"end\", p_name AS name, CAST(least(1000, p_size * 30) AS INTEGER) AS score, '.' AS strand, CAST(p_retailprice AS DOUBLE) AS signal_value, CAST(NULL AS DOUBLE) AS p_value, CAST(p_size AS DOUBLE) AS q_value, CAST(50 AS BIGINT) AS peak FROM part")
@@ -836,7 +843,18 @@ def _(s, d):
 @query("NW_08_pagerank")
 def _(s, d):
     o = fx.table(s, d, "orders").select((F.col("o_custkey") % 80).alias("src"), (F.col("o_orderkey") % 70 + 5).alias("dst"))
-    return nw.pagerank(o.where("src <> dst"), rounds=10)
+    return nw.pagerank(o.where("src <> dst"), rounds=10).select("id", r("rank"))
+
+
+def _rank_rounds(n: int) -> str:
+    given = "SELECT dst AS id, sum(w * rank) AS g FROM l JOIN r{k} ON src = id GROUP BY 1"
+    return ", ".join(f"r{k + 1} AS MATERIALIZED (SELECT id, CAST(0.15 AS DOUBLE) * p + CAST(0.85 AS DOUBLE) * coalesce(g, 0) AS rank FROM r0 LEFT JOIN ({given.format(k=k)}) USING (id))" for k in range(n))
+
+
+SQL["NW_08_pagerank"] = f"""
+WITH o AS (SELECT o_custkey % 80 AS src, o_orderkey % 70 + 5 AS dst FROM orders), e AS (SELECT * FROM o WHERE src <> dst UNION ALL SELECT dst, src FROM o WHERE src <> dst), c AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM e GROUP BY ALL),
+l AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM c), z AS (SELECT DISTINCT src AS id FROM l), r0 AS MATERIALIZED (SELECT id, 1 / CAST(count(*) OVER () AS DOUBLE) AS p, 1 / CAST(count(*) OVER () AS DOUBLE) AS rank FROM z), {_rank_rounds(10)}
+SELECT id, round(rank, 8) AS rank FROM r10"""
 
 
 @query("NW_09_edge_stats", sql="SELECT CASE WHEN l_partkey <= 100 THEN '<=100' WHEN l_partkey <= 500 THEN '<=500' WHEN l_partkey <= 2000 THEN '<=2000' ELSE '<=20000' END AS bucket, count(*) AS n, round(avg(l_quantity), 8) AS mean_score FROM lineitem GROUP BY 1")
@@ -1003,3 +1021,13 @@ def _(s, d):
 @query("CT_07_unit_components")
 def _(s, d):
     return em.unit_components(_points(s, d), 5)
+
+
+@query("QC_03_library_metrics")
+def _(s, d):
+    return rc.library_metrics(fx.frag_peaked(s, d), fx.chroms(s, d), fr.tss(fx.tx(s, d)), fx.peak(s, d).select("chrom", "start", "end"))
+
+
+@query("CT_04_lsi")
+def _(s, d):
+    return em.lsi(_x(s, d), 10)[0]

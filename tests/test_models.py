@@ -115,3 +115,60 @@ def test_tags_by_replicate(spark, tmp_path):
     replicates = spark.createDataFrame([("a", 1), ("b", 2)], "barcode string, replicate int")
     sinks.export_tags(frags, groups, str(tmp_path / "t"), replicates, most=100)
     assert [p.name for p in (tmp_path / "t").glob("group=*")] == ["group=g_1"]
+
+
+def test_planted_peaks(spark):
+    from fraglens.plans import catalog
+
+    rows = catalog.QUERIES["PK_01_call_peaks"](spark, "/root/testdata/sf0.01").collect()
+    spots = {(r.group, r.chrom, (r.summit - 1000) // 4900) for r in rows}
+    assert len(rows) == len(spots) == 4 * 5 * 20
+    assert all(r.start < 1000 + 4900 * k + 60 < r.end for r in rows for k in [(r.summit - 1000) // 4900])
+
+
+def test_lsi_is_the_svd_of_tf_idf(spark):
+    from fraglens.operators.matrix import idf, tf_idf
+
+    rng = np.random.default_rng(6)
+    rows = [(f"b{c}", f, float(rng.integers(1, 4))) for c in range(12) for f in range(20) if rng.random() < 0.5]
+    x = spark.createDataFrame(rows, "barcode string, feature_id long, value double")
+    v, values = embedding.lsi(x, 3)
+    m = np.zeros((12, 20))
+    for r in tf_idf(x, idf(x, "lsi")).collect():
+        m[int(r.barcode[1:]), r.feature_id] = r.value
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    got = np.array([r.v for r in sorted(v.collect(), key=lambda r: int(r.barcode[1:]))])
+    assert values == pytest.approx(s[:3]) and np.abs(got) == pytest.approx(np.abs(u[:, :3] * s[:3]), abs=1e-8)
+
+
+def test_library_metrics(spark):
+    from fraglens import schemas
+    from fraglens.operators import recipe
+
+    rows = [("chr1", 100 + k, 150 + k, f"b{k % 4}", 1, None) for k in range(40)] + [("chr1", 9000, 9050, "b0", 1, None)]
+    frags = spark.createDataFrame(rows, schemas.FRAGMENT)
+    peaks = spark.createDataFrame([("chr1", 50, 200), ("chr1", 150, 250)], "chrom string, start long, end long")
+    sites = spark.createDataFrame([("chr1", 120, True)], "chrom string, tss long, forward boolean")
+    row = recipe.library_metrics(frags, schemas.chrom_table(spark, {"chr1": 10_000}), sites, peaks).first()
+    assert (row.n_peaks, row.frac_genome_in_peaks) == (2, 0.02) and row.frac_in_peaks == pytest.approx(40 / 41)
+    assert row.n_cells == 4 and row.median_fragments == 10 and row.frac_cuts_in_peaks == pytest.approx(80 / 82) and row.frac_fragments_in_cells == 1
+
+
+def test_fragments_of_alignment_files(spark, tmp_path):
+    import gzip
+    import struct
+
+    from fraglens.sources import convert, readers
+
+    def read(name, flag, pos, mapq=40):
+        name = name.encode() + b"\0"
+        body = struct.pack("<iiBBHHHiiii", 0, pos, len(name), mapq, 0, 1, flag, 4, 0, pos, 0) + name + struct.pack("<I", (4 << 4) | 0) + bytes([0x12, 0x48]) + bytes([30] * 4) + b"CBZAAA\0"
+        return struct.pack("<i", len(body)) + body
+
+    ref = struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000)
+    reads = read("x", 99, 10) + read("x", 147, 50) + read("y", 99, 10) + read("y", 147, 50) + read("z", 99, 10, 3) + read("z", 147, 70, 3)
+    (tmp_path / "x.bam").write_bytes(gzip.compress(b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + ref + reads))
+    convert.make_fragment_file(spark, str(tmp_path / "x.bam"), str(tmp_path / "out"), tag="CB")
+    assert [(r.chrom, r.start, r.end, r.barcode, r["count"]) for r in readers.read_fragments(spark, str(tmp_path / "out")).collect()] == [("chr1", 10, 54, "AAA", 2)]
+    with pytest.raises(ValueError):
+        convert.make_fragment_file(spark, "x.bam", "y")
