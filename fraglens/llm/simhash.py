@@ -283,7 +283,8 @@ ORDER_DOCS, COMMON = 8192, 65536
 PAIRS_PER_ROW, CHAINS = 16, 6
 #: A further chain is worth its round if one in so many pairs of the last one linked.
 WORTH = 16
-SPOTS = 1024
+#: Spots of a bitmap: a power of two, about the number of shingles, between these.
+SPOTS, MOST_SPOTS = 1024, 1 << 14
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(32))
 
 
@@ -309,8 +310,20 @@ def prefix(have: np.ndarray, common: np.ndarray, often: np.ndarray, similarity:
 
 
 def _bitmap(have: np.ndarray) -> bytes:
-    """Whether an odd number of shingles falls on each of SPOTS spots: two sets differ by at least as many shingles as spots."""
-    return np.packbits(np.bincount(have & (SPOTS - 1), minlength=SPOTS) & 1).tobytes()
+    """Whether an odd number of shingles falls on each spot: two sets differ by at least as many shingles as spots."""
+    spots = min(MOST_SPOTS, max(SPOTS, 1 << (len(have) - 1).bit_length()))
+    return np.packbits(np.bincount(have & (spots - 1), minlength=spots) & 1).tobytes()
+
+
+def _differ(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """At how many spots the bitmaps a[i] and b[i] differ; the halves of the larger one are folded to the smaller one's size."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], dtype=np.int64).reshape(-1, 2)
+    out = np.zeros(len(a), dtype=np.int64)
+    for kind in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == kind).all(axis=1))
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join([c[i] for i in at]), dtype=np.uint64).reshape(len(at), -1, kind.min() // 8), axis=1) for c in (a, b))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +371,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     Texts link when the Jaccard similarity of their sets of `width`-word shingles is at least `similarity`. Sets this
     similar share a shingle among the first n - ceil(similarity * n) + 1 of each one's n in any fixed order, so pairs
-    that share none there can be left out without loss, and so can those whose bitmaps differ too much. Pairs are verified in rounds: neighbours in each shingle's list first,
+    that share none there can be left out without loss, and so can those whose bitmaps differ too much. Pairs are
+    verified in rounds: neighbours in each shingle's list first,
     so that a group of n copies takes about n pairs, and at the end every pair between texts still apart. Equal texts
     count as one, and so do texts without words.
     """
@@ -417,9 +431,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     def alike(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("a", "b"))
+            differ = _differ(batch.column("a").to_pylist(), batch.column("b").to_pylist())
             most = (1 - similarity) / (1 + similarity) * (batch.column("m").to_numpy() + batch.column("n").to_numpy())
-            yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most + 1e-9))
+            yield batch.select(["u", "v"]).filter(pa.array(differ <= most + 1e-9))
 
     def proposed(left: DataFrame, chain: int | None) -> DataFrame:
         def run(batches):
@@ -442,11 +456,12 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             if (size.pairs or 0) <= 2 * PAIRS_PER_ROW * (size.n or 0):
                 chain = None
         pairs = materialise(proposed(left, chain).join(tried, ["u", "v"], "left_anti"))
-        drawn = pairs.join(bitmaps.toDF("u", "m", "a"), "u").join(bitmaps.toDF("v", "n", "b"), "v").select("u", "v", "m", "n", "a", "b")
-        likely = materialise(drawn.mapInArrow(alike, "u long, v long"))
+        drawn = pairs.join(bitmaps.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("bitmap").alias("a")), "u").join(bitmaps.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("bitmap").alias("b")), "v")
+        likely = materialise(drawn.select("u", "v", "m", "n", "a", "b").mapInArrow(alike, "u long, v long"))
         text = texts_of(likely)
         both = likely.join(text.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(text.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
         fresh = materialise(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
+        discard(likely)
         linked = linked.unionByName(fresh)
         if chain is None:
             break
@@ -455,8 +470,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         labels = connected_components(linked)
         labelled = cells.join(labels, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("label"))
         apart = labelled.groupBy("token").agg((F.min("label") < F.max("label")).alias("apart")).where("apart").select("token")
-        left = materialise(labelled.join(apart, "token", "left_semi"))
+        before, left = left, materialise(labelled.join(apart, "token", "left_semi"))
+        discard(before)
     roots = connected_components(linked.unionByName(copies))
     discard(cells)
+    discard(left)
     discard(bitmaps)
     return roots

@@ -579,3 +579,38 @@ def test_components_in_blocks_and_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "BLOCK", 64)
     assert {tuple(x) for x in components.connected_components(df).collect()} == want
     assert components.connected_components(df.limit(0)).count() == 0
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {str(files.apply(i)) for i in range(files.size()) if "shuffle_" in str(files.apply(i))}
+
+
+def test_shuffle_files_go_when_a_step_is_written(spark):
+    import time
+
+    from fraglens.llm.common import CLEANUP, materialise
+
+    before, held = _shuffle_files(spark), spark.conf.get(CLEANUP, None)
+    done = materialise(spark.range(1000).repartition(5, "id").groupBy("id").count())
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and done.count() == 1000 and spark.conf.get(CLEANUP, None) == held
+
+
+def test_bitmaps_tell_long_texts_apart():
+    from fraglens.llm import simhash
+
+    rng = np.random.default_rng(5)
+    own = lambda n: np.unique(rng.integers(-(2**62), 2**62, n))
+    for n, m in ((1, 1), (900, 1100), (3000, 3000), (5000, 4100), (9000, 9000), (20000, 17000)):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = own(n)
+            b = np.unique(np.concatenate([a[: int(share * min(n, m))], own(m - int(share * min(n, m)))])) if m > share * min(n, m) else a[:m]
+            differ = int(simhash._differ([simhash._bitmap(a)], [simhash._bitmap(b)])[0])
+            assert differ <= len(np.setxor1d(a, b))
+            if share <= 0.5 and n > 1:
+                assert differ > 0.2 / 1.8 * (len(a) + len(b))
+    assert simhash._differ([], []).tolist() == []
