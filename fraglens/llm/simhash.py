@@ -4,7 +4,8 @@ Bits that go together are grouped into partitions. Fingerprints within tau bits
 on some partition i whenever the sum of (t_i + 1) is tau + 1; the t_i (-1: never probed) are allocated by dynamic
 programming on candidate counts that are estimated from the histograms of all fingerprints. Each fingerprint is
 dealt to the cells of its partition values (and those within t_i bits), and what meets in a cell is verified there.
-near_copies() goes by the Jaccard similarity of shingles instead, with candidates from a prefix filter.
+near_copies() takes its first candidates from these cells, judges them by the Jaccard similarity of shingles, and has
+a prefix filter find every pair that the fingerprints leave out.
 """
 
 from __future__ import annotations
@@ -261,6 +262,23 @@ def link_fingerprints(fps: DataFrame, tau: int) -> DataFrame:
     return _in_cells(deal(fps, thresholds(fps, tau)), ["fp", "node"], link).where("u <> v")
 
 
+def close_neighbours(fps: DataFrame, tau: int) -> DataFrame:
+    """(u, v), u < v: nodes (fps: fp, node) that have one fingerprint, or within tau bits of each other's; n - 1 for n at most in each cell."""
+    own = materialise(fps.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = fps.join(own.withColumnRenamed("node", "low"), "fp").where("node > low").select(F.col("low").alias("u"), F.col("node").alias("v"))
+
+    def link(x):
+        fp, node = x["fp"], x["node"]
+        a, b = close_pairs(x["cell"], x["probe"], (fp, tau))
+        order = np.lexsort((np.bitwise_count(fp[a] ^ fp[b]), b))  # each with the closest of those before it
+        a, b = a[order], b[order]
+        first = bounds(b)[:-1] if len(b) else b
+        u, v = node[a[first]], node[b[first]]
+        return np.minimum(u, v), np.maximum(u, v)
+
+    return equal.unionByName(_in_cells(deal(own, thresholds(own, tau)), ["fp", "node"], link).where("u <> v")).distinct()
+
+
 def simhash_components(docs: DataFrame, width: int = 3, tau: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of docs (doc_id, text).
 
@@ -283,6 +301,8 @@ ORDER_DOCS, COMMON = 8192, 65536
 PAIRS_PER_ROW, CHAINS = 16, 6
 #: A further chain is worth its round if one in so many pairs of the last one linked.
 WORTH = 16
+#: Words of a run in the fingerprints of near_copies(), and bits within which they propose pairs (as in simhash_components).
+FP_WIDTH, TAU = 3, 3
 #: Spots of a bitmap: a power of two, about the number of shingles, between these.
 SPOTS, MOST_SPOTS = 1024, 1 << 14
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(32))
@@ -372,9 +392,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     Texts link when the Jaccard similarity of their sets of `width`-word shingles is at least `similarity`. Sets this
     similar share a shingle among the first n - ceil(similarity * n) + 1 of each one's n in any fixed order, so pairs
     that share none there can be left out without loss, and so can those whose bitmaps differ too much. Pairs are
-    verified in rounds: neighbours in each shingle's list first,
-    so that a group of n copies takes about n pairs, and at the end every pair between texts still apart. Equal texts
-    count as one, and so do texts without words.
+    verified in rounds: first those whose SimHash fingerprints meet in a cell and are within TAU bits, then, so that
+    none is lost that the fingerprints leave out, neighbours in each shingle's list, so that a group of n copies takes
+    about n pairs, and at the end every pair between texts still apart. Equal texts count as one, and so do texts
+    without words.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -387,10 +408,11 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             for at in range(0, len(texts), 100):
                 sets = [shingle_set(t, width) for t in texts[at : at + 100]]
                 first = pa.array([prefix(s, *order.value, similarity) for s in sets], pa.list_(pa.int64()))
+                fp = pa.array(_votes([shingles(words_of(t or ""), FP_WIDTH) for t in texts[at : at + 100]]).view(np.int64))
                 whole = pa.array([xxhash.xxh3_128_digest((t or "").encode()) for t in texts[at : at + 100]], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 100), whole, pa.array([len(s) for s in sets], pa.int32()), pa.array(map(_bitmap, sets), pa.binary()), first], ["node", "whole", "size", "bitmap", "first"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 100), whole, pa.array([len(s) for s in sets], pa.int32()), pa.array(map(_bitmap, sets), pa.binary()), fp, first], ["node", "whole", "size", "bitmap", "fp", "first"])
 
-    own = materialise(docs.mapInArrow(prefixes, "node long, whole binary, size int, bitmap binary, first array<long>"))
+    own = materialise(docs.mapInArrow(prefixes, "node long, whole binary, size int, bitmap binary, fp long, first array<long>"))
     texts = materialise(own.groupBy("whole").agg(F.min("node").alias("v")))
     copies = materialise(own.select("node", "whole").join(texts, "whole").select(F.col("node").alias("u"), "v").where("u <> v"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -404,7 +426,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     tokens = own.join(texts.select(F.col("v").alias("node")), "node", "left_semi").select(F.explode("first").alias("token"), "node", "size")
     cells = materialise(tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(shared, "token long, node long, size int"))
     nodes = cells.select("node").distinct()
-    bitmaps = materialise(own.select("node", "size", "bitmap").join(nodes, "node", "left_semi"))
+    bitmaps = materialise(own.select("node", "size", "bitmap", "fp").join(nodes, "node", "left_semi"))
     discard(own)
 
     def texts_of(pairs: DataFrame) -> DataFrame:
@@ -447,15 +469,16 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     left = cells.withColumn("label", F.col("node"))
     linked = tried = spark.createDataFrame([], "u long, v long")
     worth = True
-    for chain in [*range(CHAINS), None]:
+    for chain in ["fingerprints", *range(CHAINS), None]:
         if not worth:
             chain = None
-        if chain:
+        if chain not in ("fingerprints", None):
             per = left.groupBy("token", "label").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
             size = per.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") - F.col("own")).alias("pairs")).first()
             if (size.pairs or 0) <= 2 * PAIRS_PER_ROW * (size.n or 0):
                 chain = None
-        pairs = materialise(proposed(left, chain).join(tried, ["u", "v"], "left_anti"))
+        met = close_neighbours(bitmaps.select("fp", "node"), TAU) if chain == "fingerprints" else proposed(left, chain)
+        pairs = materialise(met.join(tried, ["u", "v"], "left_anti"))
         drawn = pairs.join(bitmaps.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("bitmap").alias("a")), "u").join(bitmaps.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("bitmap").alias("b")), "v")
         likely = materialise(drawn.select("u", "v", "m", "n", "a", "b").mapInArrow(alike, "u long, v long"))
         text = texts_of(likely)
@@ -465,7 +488,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         linked = linked.unionByName(fresh)
         if chain is None:
             break
-        worth = fresh.count() * WORTH >= pairs.count()
+        worth = chain == "fingerprints" or fresh.count() * WORTH >= pairs.count()
         tried = tried.unionByName(pairs)
         labels = connected_components(linked)
         labelled = cells.join(labels, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("label"))

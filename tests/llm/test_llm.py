@@ -614,3 +614,25 @@ def test_bitmaps_tell_long_texts_apart():
             if share <= 0.5 and n > 1:
                 assert differ > 0.2 / 1.8 * (len(a) + len(b))
     assert simhash._differ([], []).tolist() == []
+
+
+def test_near_copies_takes_pairs_from_fingerprints_first(spark, monkeypatch):
+    from fraglens.llm import simhash
+
+    rng = random.Random(14)
+    texts = [_text(rng, 200) for _ in range(30)]
+    texts += [f"{t} {_text(rng, 1)}" for t in texts[:12]] + [f"{t} {_text(rng, 40)}" for t in texts[12:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    calls, real = [], simhash.close_neighbours
+
+    def spy(fps, tau):
+        out = real(fps, tau)
+        calls.append((tau, {r.node: r.fp & (2**64 - 1) for r in fps.collect()}, {tuple(r) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(simhash, "close_neighbours", spy)
+    assert {r.node: r.root for r in simhash.near_copies(docs).collect()} == _linked(texts)
+    ((tau, fp, pairs),) = calls
+    close = {(u, v) for u in fp for v in fp if u < v and (fp[u] ^ fp[v]).bit_count() <= tau}
+    want = {int(i): f for i, f in enumerate(simhash._votes([simhash.shingles(simhash.words_of(t), 3) for t in texts]).tolist())}
+    assert pairs and pairs == close and all(want[i] == f for i, f in fp.items())
