@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fraglens.llm.common import materialise, tune
+from fraglens.llm.common import materialise, slim, tune
 
 CAPACITY = 1024
 END_ID = 2
@@ -251,7 +251,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
                     at, k = at + size, k + 1
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return docs.select("doc_id", "text").mapInArrow(slim(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -279,4 +279,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(firsts[at] + want - keys[at], pa.int64()), pa.array(offsets[at], pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = pieces.join(offset, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(locate, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(slim(locate), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraglens.llm.common import columns_of, discard, fields, materialise, tune, with_row
+from fraglens.llm.common import columns_of, discard, fields, materialise, slim, tune, with_row
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 SECRET = 4
@@ -163,7 +163,7 @@ def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def _scanned(keyed: DataFrame) -> DataFrame:
     span = "array<struct<kind: int, start: int, end: int>>"
-    return keyed.mapInArrow(_scan, with_row(keyed, f"t binary, base {span}, seen array<struct<kind: int, start: int, end: int, patterns: array<string>, instance: string>>"))
+    return keyed.mapInArrow(slim(_scan), with_row(keyed, f"t binary, base {span}, seen array<struct<kind: int, start: int, end: int, patterns: array<string>, instance: string>>"))
 
 
 def find_private(docs: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def find_private(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "base", "added").mapInArrow(spell, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.select("doc_id", "base", "added").mapInArrow(slim(spell), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -222,5 +222,5 @@ def redact(docs: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
-    done = keyed.select("row", "text", "added").mapInArrow(cover, with_row(keyed, "text string"))
+    done = keyed.select("row", "text", "added").mapInArrow(slim(cover), with_row(keyed, "text string"))
     return done.select(*fields(docs.columns))

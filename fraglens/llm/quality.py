@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraglens.llm.common import columns_of, fields, tune, with_row
+from fraglens.llm.common import columns_of, fields, slim, tune, with_row
 
 #: Documents that the scorer is trained on (those with the smallest hashes), and hashed features.
 SAMPLE, FEATURES = 6000, 1 << 14
@@ -172,7 +172,7 @@ def score_quality(docs: DataFrame, only_kept: bool = False) -> DataFrame:
                 seen[k] = seen.get(k, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
 
-    tally = docs.select("text").mapInArrow(count, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()  # at most 3^7 rows
+    tally = docs.select("text").mapInArrow(slim(count), "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()  # at most 3^7 rows
     patterns = np.array([r.votes for r in tally], dtype=np.int64).reshape(len(tally), 7)
     _, _, posterior = estimate(patterns, np.array([r.n for r in tally], dtype=float))
     belief = {tuple(r.votes): float(p) for r, p in zip(tally, posterior, strict=True)}
@@ -189,7 +189,7 @@ def score_quality(docs: DataFrame, only_kept: bool = False) -> DataFrame:
             f, n = pa.array([f.astype(np.int16) for f, _ in pairs], pa.list_(pa.int16())), pa.array([n.astype(np.int32) for _, n in pairs], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([f, n, pa.array([belief[votes(t)] for t in texts], pa.float64())], ["f", "n", "y"])
 
-    sample = chosen.mapInArrow(shapes, "f array<smallint>, n array<int>, y double").toArrow()  # at most FEATURES pairs a document
+    sample = chosen.mapInArrow(slim(shapes), "f array<smallint>, n array<int>, y double").toArrow()  # at most FEATURES pairs a document
     w, bias = train(list(sample.column("f").to_numpy()), list(sample.column("n").to_numpy()), sample.column("y").to_numpy())
     def run(batches):
         memo = _Features()
@@ -209,7 +209,7 @@ def score_quality(docs: DataFrame, only_kept: bool = False) -> DataFrame:
 
     kept = [c for c in docs.columns if only_kept or c not in OUTPUT]
     framed = docs.select(F.struct(F.lit(0).alias("_"), *columns_of(docs, ["text", *(() if only_kept else OUTPUT)])).alias("row"), "text")
-    done = framed.mapInArrow(run, with_row(framed, "text string, p double, s double"))
+    done = framed.mapInArrow(slim(run), with_row(framed, "text string, p double, s double"))
     if only_kept:
         return done.where("s >= 0.5").select(*fields(kept))
     return done.select(*fields(kept), F.col("p").alias("quality_posterior"), F.col("s").alias("quality_score"), (F.col("s") >= 0.5).alias("quality_kept"))

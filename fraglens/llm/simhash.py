@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraglens.llm.common import bounds, discard, forest, materialise, tune, whole_groups
+from fraglens.llm.common import bounds, discard, forest, materialise, slim, tune, whole_groups
 from fraglens.llm.components import connected_components
 
 BITS, GROUPS = 64, 4
@@ -412,7 +412,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
                 whole = pa.array([xxhash.xxh3_128_digest((t or "").encode()) for t in texts[at : at + 100]], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 100), whole, pa.array([len(s) for s in sets], pa.int32()), pa.array(map(_bitmap, sets), pa.binary()), fp, first], ["node", "whole", "size", "bitmap", "fp", "first"])
 
-    own = materialise(docs.mapInArrow(prefixes, "node long, whole binary, size int, bitmap binary, fp long, first array<long>"))
+    own = materialise(docs.mapInArrow(slim(prefixes), "node long, whole binary, size int, bitmap binary, fp long, first array<long>"))
     texts = materialise(own.groupBy("whole").agg(F.min("node").alias("v")))
     copies = materialise(own.select("node", "whole").join(texts, "whole").select(F.col("node").alias("u"), "v").where("u <> v"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -424,7 +424,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             yield from table.filter(pa.array(more)).combine_chunks().to_batches()
 
     tokens = own.join(texts.select(F.col("v").alias("node")), "node", "left_semi").select(F.explode("first").alias("token"), "node", "size")
-    cells = materialise(tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(shared, "token long, node long, size int"))
+    cells = materialise(tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(slim(shared), "token long, node long, size int"))
     nodes = cells.select("node").distinct()
     bitmaps = materialise(own.select("node", "size", "bitmap", "fp").join(nodes, "node", "left_semi"))
     discard(own)
@@ -480,10 +480,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         met = close_neighbours(bitmaps.select("fp", "node"), TAU) if chain == "fingerprints" else proposed(left, chain)
         pairs = materialise(met.join(tried, ["u", "v"], "left_anti"))
         drawn = pairs.join(bitmaps.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("bitmap").alias("a")), "u").join(bitmaps.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("bitmap").alias("b")), "v")
-        likely = materialise(drawn.select("u", "v", "m", "n", "a", "b").mapInArrow(alike, "u long, v long"))
+        likely = materialise(drawn.select("u", "v", "m", "n", "a", "b").mapInArrow(slim(alike), "u long, v long"))
         text = texts_of(likely)
         both = likely.join(text.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(text.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-        fresh = materialise(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
+        fresh = materialise(both.select("u", "v", "a", "b").mapInArrow(slim(verify), "u long, v long"))
         discard(likely)
         linked = linked.unionByName(fresh)
         if chain is None:

@@ -636,3 +636,26 @@ def test_near_copies_takes_pairs_from_fingerprints_first(spark, monkeypatch):
     close = {(u, v) for u in fp for v in fp if u < v and (fp[u] ^ fp[v]).bit_count() <= tau}
     want = {int(i): f for i, f in enumerate(simhash._votes([simhash.shingles(simhash.words_of(t), 3) for t in texts]).tolist())}
     assert pairs and pairs == close and all(want[i] == f for i, f in fp.items())
+
+
+def test_workers_give_memory_back():
+    from fraglens.llm.common import slim
+
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    pins = []
+
+    def run(batches):
+        held = []
+        for b in batches:
+            for _ in range(2000):
+                held.append(np.ones(12_000))
+                pins.append(np.ones(64))
+            yield b
+        held.clear()
+
+    grown = []
+    for f in (run, slim(run)):
+        before = resident()
+        assert list(f(iter([1, 2]))) == [1, 2]
+        grown.append(resident() - before)
+    assert grown[1] < -100_000_000 or grown[1] < grown[0] / 2
