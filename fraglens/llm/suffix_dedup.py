@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraglens.llm.common import bounds, columns_of, discard, fields, materialise, packed, tune, whole_groups, with_row
+from fraglens.llm.common import bounds, columns_of, discard, fields, materialise, packed, slim, tune, whole_groups, with_row
 from fraglens.llm.suffix import permuted_lcp, suffix_array
 
 WIDTH, GRAM = 400, 32
@@ -332,30 +332,34 @@ def repeated_spans(docs: DataFrame, words: int | None = None) -> DataFrame:
     docs has t (binary, equal for equal texts) and text (no nulls) and doc_id. A text with copies has the run [0, -1),
     which stands for all of it.
     """
-    found = materialise(docs.select("t", "text").mapInArrow(_occurrences(words), "key long, words boolean, t binary, at array<struct<first: int, n: int, place: int>>"))
+    found = materialise(docs.select("t", "text").mapInArrow(slim(_occurrences(words)), "key long, words boolean, t binary, at array<struct<first: int, n: int, place: int>>"))
     texts_of = F.xxhash64("t")  # narrower than t, and no sort is needed to compare it
     often = found.groupBy("key").agg(F.min(texts_of).alias("low"), F.max(texts_of).alias("high"), F.max(F.size("at")).alias("most")).where("low < high or most > 1").select("key")
     asked = found.join(often, "key", "left_semi").groupBy("t").agg(F.collect_set(F.struct("key", "words", "at")).alias("asked"))
     texts = docs.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     source = docs.select("t", "doc_id", "text").alias("d").join(asked.join(texts, "t").alias("a"), F.expr("d.t = a.t and d.doc_id <=> a.doc_id")).select("d.t", "d.text", "a.asked")
-    cut = materialise(source.mapInArrow(_cut(words), "key long, words boolean, digest binary, t binary, firsts array<int>, place int, content binary"))
+    cut_rows = materialise(source.mapInArrow(slim(_cut(words)), "key long, words boolean, digest binary, t binary, firsts array<int>, place int, content binary"))
     discard(found)
-    cut = cut.withColumn("copies", F.size("firsts").cast("long"))
+    cut = cut_rows.withColumn("copies", F.size("firsts").cast("long"))
     spans = "key long, digest binary, spans array<struct<lo: int, hi: int>>"
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = materialise(cut.select("key", "digest").distinct().groupBy("key").count().where(F.col("count") > HOT).select("key"))
     cold, hot = (cut, None) if many.isEmpty() else (cut.join(many, "key", "left_anti"), cut.join(many, "key", "left_semi"))
     distinct = cold.groupBy("key", "digest").agg(F.first("words").alias("words"), F.first("place").alias("place"), F.sum("copies").alias("copies"), F.max("content").alias("content"))
-    judged = distinct.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_judge(words), spans)
+    judged = distinct.repartition(n, "key").sortWithinPartitions("key").mapInArrow(slim(_judge(words)), spans)
     if hot is not None:
         judged = judged.unionByName(_hot_spans(hot.where("not words"), n))
         if words is not None:
             judged = judged.unionByName(_hot_word_spans(hot.where("words"), words))
-    members = cut.select("key", "words", "digest", "t", "firsts").join(judged.where(F.size("spans") > 0), ["key", "digest"])
+    judged = materialise(judged.where(F.size("spans") > 0))  # each step written by itself: its shuffle files go before the next
+    members = cut.select("key", "words", "digest", "t", "firsts").join(judged, ["key", "digest"])
     width = F.when(F.col("words"), F.lit(words or 0)).otherwise(F.lit(WIDTH))
     moved = F.flatten(F.transform("firsts", lambda f: F.transform("spans", lambda s: F.struct((s.lo + f).alias("lo"), (s.hi + f + width).alias("hi"), F.col("words").alias("words")))))
     whole = texts.where("copies > 1").select("t", F.expr("array(named_struct('lo', 0, 'hi', -1, 'words', false))").cast(_SPAN).alias("spans"))
-    return members.select("t", moved.cast(_SPAN).alias("spans")).unionByName(whole).groupBy("t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = materialise(members.select("t", moved.cast(_SPAN).alias("spans")).unionByName(whole).groupBy("t").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    discard(cut_rows)
+    discard(judged)
+    return out
 
 
 def _refined(left: DataFrame, g: int) -> DataFrame:
@@ -387,7 +391,7 @@ def _hot_spans(hot: DataFrame, n: int) -> DataFrame:
     many = distinct.groupBy("sub").count().where(F.col("count") > HOT).select("sub")
     few = distinct.join(many, "sub", "left_anti").select(F.xxhash64("sub").alias("key"), F.lit(False).alias("words"), F.col("whole").alias("digest"), "place", "copies", "content")
     spans = "array<struct<lo: int, hi: int>>"
-    judged = few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_judge(None), f"key long, digest binary, spans {spans}").where(F.size("spans") > 0)
+    judged = few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(slim(_judge(None)), f"key long, digest binary, spans {spans}").where(F.size("spans") > 0)
     moved = F.transform("spans", lambda s: F.struct((s.lo + F.col("base")).alias("lo"), (s.hi + F.col("base")).alias("hi")))
     out = items.join(judged.select(F.col("digest").alias("whole"), "spans"), "whole").select("key", "digest", moved.alias("spans"))
     rest = items.join(many, "sub", "left_semi").drop("sub", "whole")
@@ -458,5 +462,5 @@ def cut_repeats(docs: DataFrame, words: int | None = None, counts: bool = True)
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["row", "text", *OUTPUT])
 
-    done = rows.select("row", "text", "absent", "spans").mapInArrow(run, with_row(keyed, "text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    done = rows.select("row", "text", "absent", "spans").mapInArrow(slim(run), with_row(keyed, "text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
     return done.select(*fields(kept), *(OUTPUT if counts else ()))

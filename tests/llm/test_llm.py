@@ -659,3 +659,18 @@ def test_workers_give_memory_back():
         assert list(f(iter([1, 2]))) == [1, 2]
         grown.append(resident() - before)
     assert grown[1] < -100_000_000 or grown[1] < grown[0] / 2
+
+
+def test_repeats_are_found_in_steps_that_leave_no_shuffle_files(spark, docs):
+    import time
+
+    from fraglens.llm import suffix_dedup
+
+    before = _shuffle_files(spark)
+    keyed = docs.selectExpr("unhex(md5(coalesce(text, ''))) AS t", "doc_id", "coalesce(text, '') AS text")
+    spans = suffix_dedup.repeated_spans(keyed, 51)
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spans.toArrow().num_rows > 0 and not _shuffle_files(spark) - before
