@@ -297,10 +297,12 @@ def simhash_components(docs: DataFrame, width: int = 3, tau: int = 3) -> DataFra
 
 #: Documents whose shingles are counted to put common ones last; only the order depends on it, never the result.
 ORDER_DOCS, COMMON = 8192, 65536
-#: Pairs of a prefix shingle, per row, that are all verified at once; while there are more, chains are verified first.
+#: Pairs of a prefix shingle, per row, that are all compared at once; while there are more, chains are verified first.
 PAIRS_PER_ROW, CHAINS = 16, 6
 #: A further chain is worth its round if one in so many pairs of the last one linked.
 WORTH = 16
+#: Pairs that a task compares at once.
+PART = 1 << 16
 #: Words of a run in the fingerprints of near_copies(), and bits within which they propose pairs (as in simhash_components).
 FP_WIDTH, TAU = 3, 3
 #: Spots of a bitmap: a power of two, about the number of shingles, between these.
@@ -362,28 +364,89 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _cell_pairs(x: dict[str, np.ndarray], similarity: float, chain: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a cell with different labels whose sizes allow the similarity: all, or those next to each other.
+def _chain(x: dict[str, np.ndarray], similarity: float, chain: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs next to each other in a cell that have different labels and sizes that allow the similarity.
 
     Chain 0 goes by size, others by an order of their own.
     """
-    if chain is not None:
-        mixed = x["size"] if chain == 0 else (x["node"].astype(np.uint64) * _MIX[0] + np.uint64(chain)) * _MIX[1] >> _MIX[2]
-        order = np.lexsort((x["node"], mixed, x["token"]))
-        x = {k: v[order] for k, v in x.items()}
-    cuts = bounds(x["token"])
-    end = np.repeat(cuts[1:], np.diff(cuts))
-    at, step = np.arange(len(end)), 1
-    while chain is None or step == 1:
-        at = at[at + step < end[at]]
-        if not len(at):
-            break
-        a, b = x["size"][at], x["size"][at + step]
-        ok = at[(x["label"][at] != x["label"][at + step]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)]
-        if len(ok):
-            u, v = x["node"][ok], x["node"][ok + step]
-            yield np.minimum(u, v), np.maximum(u, v)
-        step += 1
+    mixed = x["size"] if chain == 0 else (x["node"].astype(np.uint64) * _MIX[0] + np.uint64(chain)) * _MIX[1] >> _MIX[2]
+    order = np.lexsort((x["node"], mixed, x["token"]))
+    token, node, size, label = (x[c][order] for c in ("token", "node", "size", "label"))
+    low, high = np.minimum(size[1:], size[:-1]), np.maximum(size[1:], size[:-1])
+    at = np.flatnonzero((token[1:] == token[:-1]) & (label[1:] != label[:-1]) & (low >= similarity * high - 1e-9))
+    return np.minimum(node[at], node[at + 1]), np.maximum(node[at], node[at + 1])
+
+
+def _across(x: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs in one cell with different labels that may reach the similarity, a part at a time; x is sorted by token, label.
+
+    Sets that first share the tokens at pos i and j share at most what either has from there on, so others are left
+    out. So are pairs that also meet in the cell of the token before (prev).
+    """
+    token, label, size, pos, prev = (x[c] for c in ("token", "label", "size", "pos", "prev"))
+    cells = bounds(token)
+    end = np.repeat(cells[1:], np.diff(cells))
+    runs = bounds(_runs(x))
+    start = np.repeat(runs[1:], np.diff(runs))  # one label's rows are never compared with each other
+    total = np.cumsum(end - start)
+    at = 0
+    while at < len(token):
+        top = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PART, side="right")))
+        many = end[at:top] - start[at:top]
+        a = np.repeat(np.arange(at, top), many)
+        b = start[a] + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+        ok = np.minimum(size[a] - pos[a], size[b] - pos[b]) >= similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9
+        ok &= (pos[a] == 0) | (pos[b] == 0) | (prev[a] != prev[b])
+        if ok.any():
+            yield a[ok], b[ok]
+        at = top
+
+
+def _runs(x: dict[str, np.ndarray]) -> np.ndarray:
+    """The number of each row's run of equal token and label."""
+    return np.cumsum(np.concatenate([[False], (x["token"][1:] != x["token"][:-1]) | (x["label"][1:] != x["label"][:-1])]))
+
+
+def _likely(x: dict[str, np.ndarray], bitmaps: np.ndarray, similarity: float, spanning: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of _across() whose bitmaps allow the similarity: all, or only those that join what is apart in their cell.
+
+    What joins is likely to link: spots on which several differences fall are reckoned with, too.
+    """
+    run = _runs(x)
+    root = np.arange(run[-1] + 1)
+    spots = 8 * np.fromiter(map(len, bitmaps), dtype=np.int64, count=len(bitmaps))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for every in _across(x, similarity):
+        for at in range(0, len(every[0]), PART >> 3):
+            a, b = (e[at : at + (PART >> 3)] for e in every)
+            if spanning:
+                open_ = root[run[a]] != root[run[b]]
+                a, b = a[open_], b[open_]
+            differ = _differ(bitmaps[a].tolist(), bitmaps[b].tolist())
+            both = x["size"][a] + x["size"][b]
+            most = (1 - similarity) / (1 + similarity) * both + 1e-9
+            if spanning:
+                n = np.minimum(spots[a], spots[b])
+                differ = -n / 2 * np.log(np.maximum(1 - 2 * differ / n, 1e-9))
+            ok = differ <= most
+            a, b, share = a[ok], b[ok], (differ / both)[ok]
+            if spanning:
+                joins = []
+                for k in np.argsort(share, kind="stable").tolist():  # the closest first
+                    p, q = find(run[a[k]]), find(run[b[k]])
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        joins.append(k)
+                a, b = a[joins], b[joins]
+                while not np.array_equal(root, root[root]):
+                    root = root[root]
+            if len(a):
+                yield a, b
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -394,8 +457,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     that share none there can be left out without loss, and so can those whose bitmaps differ too much. Pairs are
     verified in rounds: first those whose SimHash fingerprints meet in a cell and are within TAU bits, then, so that
     none is lost that the fingerprints leave out, neighbours in each shingle's list, so that a group of n copies takes
-    about n pairs, and at the end every pair between texts still apart. Equal texts count as one, and so do texts
-    without words.
+    about n pairs. At the end every pair between texts still apart is compared in the shingles' lists, by place in the
+    prefix and by bitmap; only what both allow leaves a list: first as many pairs as join its texts, then every one that
+    is left. Equal texts count as one, and so do texts without words.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -423,8 +487,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             more = np.repeat(np.diff(bounds(token)) > 1, np.diff(bounds(token)))
             yield from table.filter(pa.array(more)).combine_chunks().to_batches()
 
-    tokens = own.join(texts.select(F.col("v").alias("node")), "node", "left_semi").select(F.explode("first").alias("token"), "node", "size")
-    cells = materialise(tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(slim(shared), "token long, node long, size int"))
+    tokens = own.join(texts.select(F.col("v").alias("node")), "node", "left_semi").select("node", "size", "first", F.posexplode("first").alias("pos", "token"))
+    tokens = tokens.select("token", "node", "size", "pos", F.coalesce(F.get("first", F.col("pos") - 1), F.lit(0)).alias("prev"))
+    cells = materialise(tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(slim(shared), "token long, node long, size int, pos int, prev long"))
     nodes = cells.select("node").distinct()
     bitmaps = materialise(own.select("node", "size", "bitmap", "fp").join(nodes, "node", "left_semi"))
     discard(own)
@@ -457,41 +522,68 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             most = (1 - similarity) / (1 + similarity) * (batch.column("m").to_numpy() + batch.column("n").to_numpy())
             yield batch.select(["u", "v"]).filter(pa.array(differ <= most + 1e-9))
 
-    def proposed(left: DataFrame, chain: int | None) -> DataFrame:
+    def chained(left: DataFrame, chain: int) -> DataFrame:
+        def run(batches):
+            for table in whole_groups(batches, ["token"]):
+                u, v = _chain({c: table.column(c).to_numpy() for c in ("token", "node", "size", "label")}, similarity, chain)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        return left.select("token", "node", "size", "label").repartition(n, "token").sortWithinPartitions("token").mapInArrow(run, "u long, v long").distinct()
+
+    columns = ["token", "node", "size", "pos", "prev", "label"]
+
+    def partnered(batches):
+        for table in whole_groups(batches, ["token"]):
+            keep = np.zeros(table.num_rows, dtype=bool)
+            for a, b in _across({c: table.column(c).to_numpy() for c in columns}, similarity):
+                keep[a] = keep[b] = True
+            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def compared(left: DataFrame, spanning: bool) -> DataFrame:
+        """The pairs between labels that place and bitmaps allow; only rows that place allows a partner meet bitmaps."""
+
         def run(batches):
             for table in whole_groups(batches, ["token"]):
-                x = {c: table.column(c).to_numpy() for c in ("token", "node", "size", "label")}
-                for u, v in _cell_pairs(x, similarity, chain):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                x = {c: table.column(c).to_numpy() for c in columns}
+                held = np.array(table.column("bitmap").to_pylist(), dtype=object)
+                for a, b in _likely(x, held, similarity, spanning):
+                    u, v = x["node"][a], x["node"][b]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
-        return left.repartition(n, "token").sortWithinPartitions("token").mapInArrow(run, "u long, v long").distinct()
+        grouped = lambda rows: rows.repartition(n, "token").sortWithinPartitions("token", "label")
+        rows = materialise(grouped(left.select(columns)).mapInArrow(slim(partnered), left.select(columns).schema))
+        return grouped(rows.join(bitmaps.select("node", "bitmap"), "node")).select(*columns, "bitmap").mapInArrow(slim(run), "u long, v long").distinct()
 
     left = cells.withColumn("label", F.col("node"))
     linked = tried = spark.createDataFrame([], "u long, v long")
     worth = True
-    for chain in ["fingerprints", *range(CHAINS), None]:
-        if not worth:
-            chain = None
-        if chain not in ("fingerprints", None):
-            per = left.groupBy("token", "label").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-            size = per.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") - F.col("own")).alias("pairs")).first()
-            if (size.pairs or 0) <= 2 * PAIRS_PER_ROW * (size.n or 0):
-                chain = None
-        met = close_neighbours(bitmaps.select("fp", "node"), TAU) if chain == "fingerprints" else proposed(left, chain)
-        pairs = materialise(met.join(tried, ["u", "v"], "left_anti"))
-        drawn = pairs.join(bitmaps.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("bitmap").alias("a")), "u").join(bitmaps.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("bitmap").alias("b")), "v")
-        likely = materialise(drawn.select("u", "v", "m", "n", "a", "b").mapInArrow(slim(alike), "u long, v long"))
+    for step in ["fingerprints", *range(CHAINS), "spanning", "all"]:
+        if isinstance(step, int):
+            if worth:
+                per = left.groupBy("token", "label").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
+                size = per.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") - F.col("own")).alias("pairs")).first()
+                worth = (size.pairs or 0) > 2 * PAIRS_PER_ROW * (size.n or 0)
+            if not worth:
+                continue
+        if step in ("spanning", "all"):
+            pairs = likely = materialise(compared(left, step == "spanning").join(tried, ["u", "v"], "left_anti"))
+        else:
+            met = close_neighbours(bitmaps.select("fp", "node"), TAU) if step == "fingerprints" else chained(left, step)
+            pairs = materialise(met.join(tried, ["u", "v"], "left_anti"))
+            drawn = pairs.join(bitmaps.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("bitmap").alias("a")), "u").join(bitmaps.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("bitmap").alias("b")), "v")
+            likely = materialise(drawn.select("u", "v", "m", "n", "a", "b").mapInArrow(slim(alike), "u long, v long"))
         text = texts_of(likely)
         both = likely.join(text.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(text.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
         fresh = materialise(both.select("u", "v", "a", "b").mapInArrow(slim(verify), "u long, v long"))
-        discard(likely)
+        if likely is not pairs:
+            discard(likely)
         linked = linked.unionByName(fresh)
-        if chain is None:
+        if step == "all":
             break
-        worth = chain == "fingerprints" or fresh.count() * WORTH >= pairs.count()
+        worth = step == "fingerprints" or fresh.count() * WORTH >= pairs.count()
         tried = tried.unionByName(pairs)
         labels = connected_components(linked)
-        labelled = cells.join(labels, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("label"))
+        labelled = cells.join(labels, "node", "left").select("token", "node", "size", "pos", "prev", F.coalesce("root", "node").alias("label"))
         apart = labelled.groupBy("token").agg((F.min("label") < F.max("label")).alias("apart")).where("apart").select("token")
         before, left = left, materialise(labelled.join(apart, "token", "left_semi"))
         discard(before)

@@ -231,6 +231,32 @@ def test_near_copies_in_groups_of_variants(spark, monkeypatch):
     assert {r.node: r.root for r in simhash.near_copies(docs).collect()} == want
 
 
+def test_near_copies_compare_a_group_without_writing_its_pairs(spark, monkeypatch):
+    from fraglens.llm import simhash
+
+    rng = random.Random(14)
+    words = _text(rng, 200).split()
+    texts = []
+    for k in range(240):  # most differ from each other by more than the similarity allows, but share rare shingles
+        own = words[:]
+        for i in rng.sample(range(200), 4 if k % 8 else 1):
+            own[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    want = _linked(texts)
+    sizes = []
+
+    def counted(df, write=simhash.materialise):
+        out = write(df)
+        if df.columns == ["u", "v"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    got = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.node: r.root for r in got.collect()} == want
+    assert max(sizes) <= 10 * len(texts)
+
+
 def test_near_dedup_of_repeated_and_missing_ids(spark):
     import corpus_pipeline
 
