@@ -27,3 +27,33 @@ def test_edge_stats_of_large_keys(spark, tmp_path):
     db.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     want = sorted(db.execute(catalog.SQL["NW_09_edge_stats"]).fetchall())
     assert sorted(tuple(x) for x in catalog.QUERIES["NW_09_edge_stats"](spark, str(tmp_path)).collect()) == want
+
+
+@pytest.mark.parametrize("strategy", ["insertion", "fragment", "paired-insertion"])
+def test_region_matrix_against_pairs(spark, strategy):
+    """Fragments longer than a region, regions over several bins, single ends, equal rows and one base regions; bins of 50 bases."""
+    from fraglens import schemas
+    from fraglens.operators import matrix
+
+    rng = np.random.default_rng(1)
+    frags = [("chr%d" % rng.integers(1, 3), int(a), int(a + rng.integers(1, 200)), "c%d" % rng.integers(3), 1, [None, None, "+", "-"][rng.integers(4)]) for a in rng.integers(0, 600, 300)]
+    frags += frags[:40]
+    regions = [("chr%d" % rng.integers(1, 3), int(a), int(a + rng.integers(1, 170)), k) for k, a in enumerate(rng.integers(0, 700, 80))]
+    want: dict[tuple[str, int], int] = {}
+    for c, a, b, cell, _, strand in frags:
+        for d, s, e, k in regions:
+            ends = [a, b - 1] if strand is None else [a] if strand == "+" else [b - 1]
+            hits = [s <= p < e for p in ends]
+            n = sum(hits) if strategy == "insertion" or strand else int(a < e and s < b) if strategy == "fragment" else int(any(hits))
+            if c == d and n:
+                want[cell, k] = want.get((cell, k), 0) + n
+    for width in (50, 4096):
+        got = matrix.region_matrix(spark.createDataFrame(frags, schemas.FRAGMENT), spark.createDataFrame(regions, schemas.REGION), strategy, width=width)
+        assert {(r.barcode, r.region_id): r.value for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["J_01_02_overlap_fragment", "J_03_AGG_08_insertion", "J_04_AGG_08_paired_insertion", "AGG_11_gene_matrix", "AGG_12_value_regions"])
+def test_region_counts_make_no_pairs(spark, name):
+    """No join of fragments and regions on a bin, whose rows are their pairs."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "r_start" not in plan and "r_chrom" not in plan
