@@ -125,3 +125,49 @@ class Spans:
         for v, t in zip(out, self.levels[-1][3], strict=True):
             v += t[high] - t[low]
         return out
+
+
+def window_profile(points: DataFrame, windows: DataFrame, group: str = "barcode", width: int = BIN) -> DataFrame:
+    """(group, pos, n): points (group, chrom, start, n; start unique) by their place in windows (chrom, start, end, forward), mirrored unless forward.
+
+    A window adds the counts of its bases at once where a bin is full of points, and its points one by one where it isn't.
+    """
+    kind = dict(points.dtypes)[group]
+    left = points.select("chrom", F.floor(F.col("start") / width).cast("long").alias("bin"), F.col(group).alias("g"), F.col("start").cast("long").alias("a"), F.col("n").cast("long").alias("b"), F.lit(None).cast("boolean").alias("forward"), F.lit(False).alias("window"))
+    right = windows.where("end > start").select("chrom", F.explode(bins_of(F.col("start"), F.col("end"), width)).alias("bin"), F.lit(None).cast(kind).alias("g"), F.col("start").cast("long").alias("a"), F.col("end").cast("long").alias("b"), "forward", F.lit(True).alias("window"))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        is_window = table.column("window")
+        x, w = table.filter(pa.compute.invert(is_window)).sort_by("a"), table.filter(is_window)
+        if not (x.num_rows and w.num_rows):
+            return
+        low = key[1].as_py() * width
+        coded = x.column("g").combine_chunks().dictionary_encode(null_encoding="encode")
+        every, at, n = coded.indices.to_numpy(), x.column("a").to_numpy() - low, x.column("b").to_numpy()
+        s, e = w.column("a").to_numpy() - low, w.column("b").to_numpy() - low
+        pieces = list(zip(s.tolist(), e.tolist(), np.maximum(s, 0).tolist(), np.minimum(e, width).tolist(), w.column("forward").to_pylist(), strict=True))
+        most = int((e - s).max())
+        chunk = max(1, (PART << 3) // (width + most))
+        for first in range(0, len(coded.dictionary), chunk):
+            mine = (every >= first) & (every < first + chunk)
+            g, p, m = every[mine] - first, at[mine], n[mine]
+            groups = min(chunk, len(coded.dictionary) - first)
+            out = np.zeros((groups, most), dtype=np.int64)
+            if groups * width <= 16 * len(p):
+                full = np.zeros((groups, width), dtype=np.int64)
+                full[g, p] = m
+                for i, j, lo, hi, forward in pieces:
+                    if forward:
+                        out[:, lo - i : hi - i] += full[:, lo:hi]
+                    else:
+                        out[:, j - hi : j - lo] += full[:, lo:hi][:, ::-1]
+            else:
+                for i, j, lo, hi, forward in pieces:
+                    one, two = np.searchsorted(p, (lo, hi))
+                    np.add.at(out, (g[one:two], p[one:two] - i if forward else j - 1 - p[one:two]), m[one:two])
+            i, k = np.nonzero(out)
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(first + i)), pa.array(k), pa.array(out[i, k])], ["g", "pos", "n"])
+
+    found = left.unionByName(right).where("chrom is not null").groupBy("chrom", "bin").applyInArrow(run, f"g {kind}, pos long, n long")
+    return found.groupBy(F.col("g").alias(group), "pos").agg(F.sum("n").alias("n"))

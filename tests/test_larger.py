@@ -57,3 +57,34 @@ def test_region_counts_make_no_pairs(spark, name):
     """No join of fragments and regions on a bin, whose rows are their pairs."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "r_start" not in plan and "r_chrom" not in plan
+
+
+@pytest.mark.parametrize("cells", [1, 300])
+def test_tss_windows_against_pairs(spark, cells):
+    """Windows cut at base 0, equal sites on both strands, cells with few and with many insertions."""
+    from fraglens import schemas
+    from fraglens.operators import fragments
+
+    rng = np.random.default_rng(2)
+    frags = [("chr1", int(a), int(a + rng.integers(1, 300)), f"c{rng.integers(cells)}", 1, None) for a in rng.integers(0, 9000, 3000)]
+    sites = [("chr1", int(a), bool(f)) for a in {5, 1500, *rng.integers(0, 9000, 20).tolist()} for f in (True, False)]
+    want: dict[tuple[str, int], int] = {}
+    score = {f[3]: [0, 0] for f in frags}
+    for _, tss, forward in sites:
+        low, high = max(0, tss - 2000), tss + 2001
+        for _, a, b, cell, _, _ in frags:
+            for p in (a, b - 1):
+                if low <= p < high:
+                    at = p - low if forward else high - 1 - p
+                    want[cell, at] = want.get((cell, at), 0) + 1
+                    score[cell][0] += 1995 <= at <= 2005
+                    score[cell][1] += at < 100 or at > 3900
+    f, s = spark.createDataFrame(frags, schemas.FRAGMENT), spark.createDataFrame(sites, "chrom string, tss long, forward boolean")
+    assert {(r.barcode, r.pos): r.n for r in fragments.tss_hits(f, s).collect()} == want
+    assert {r.barcode: r.tsse for r in fragments.tsse(f, s).collect()} == {c: x / 11 / (y / 200 + 0.1) for c, (x, y) in score.items()}
+
+
+@pytest.mark.parametrize("name", ["W_01_02_tss_profile", "AGG_17_W_01_tsse", "PL_02_tsse_density"])
+def test_tss_windows_make_no_pairs(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "r_start" not in plan and "r_chrom" not in plan
