@@ -88,3 +88,25 @@ def test_tss_windows_against_pairs(spark, cells):
 def test_tss_windows_make_no_pairs(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "r_start" not in plan and "r_chrom" not in plan
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_semi_and_anti_group_nothing(spark, how):
+    """Rows in one, two and many bins, equal rows, a null place; short rows are neither grouped nor joined back to themselves."""
+    from fraglens.operators import intervals
+
+    rng = np.random.default_rng(3)
+    rows = [("chr%d" % rng.integers(1, 4), int(a), int(a + rng.integers(1, 400))) for a in rng.integers(0, 5000, 300)]
+    rows += rows[:50] + [("chr1", 0, 4000), ("chr9", 5, 10), (None, 5, 10)]
+    spots = [("chr%d" % rng.integers(1, 3), int(a), int(a + rng.integers(1, 60))) for a in rng.integers(0, 5000, 40)]
+    hit = lambda r: any(r[0] == c and r[1] < e and s < r[2] for c, s, e in spots)
+    frame = lambda x: spark.createDataFrame(x, "chrom string, start long, end long")
+    for width in (100, 1000):
+        got = intervals.overlap_join(frame(rows), frame(spots), width, how)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in rows if hit(r) == (how == "left_semi"))
+    name = {"left_semi": "AGG_15_frip", "left_anti": "J_06_FLT_11_anti"}[how]
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    if how == "left_semi":
+        assert "_h_start" not in plan and "Aggregate [barcode#" in plan and "start#" not in " ".join(x for x in plan.splitlines() if "Aggregate [barcode" in x)
+    else:
+        assert "LeftAnti" in plan
