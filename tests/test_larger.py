@@ -110,3 +110,39 @@ def test_semi_and_anti_group_nothing(spark, how):
         assert "_h_start" not in plan and "Aggregate [barcode#" in plan and "start#" not in " ".join(x for x in plan.splitlines() if "Aggregate [barcode" in x)
     else:
         assert "LeftAnti" in plan
+
+
+def test_products_by_block(spark, monkeypatch):
+    """Several blocks and stretches of columns, absent values, rows without spread."""
+    import math
+
+    from fraglens.operators import products, stats
+
+    for name, n in (("BLOCK", 8), ("COLUMNS", 3), ("EMIT", 2)):
+        monkeypatch.setattr(products, name, n)
+    rng = np.random.default_rng(4)
+    for share in (1.0, 0.4):
+        m = np.where(rng.random((20, 7)) < share, np.round(rng.random((20, 7)), 3) + 5, np.nan)
+        m[3] = 2.0
+        df = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(20) for j in range(7) if not np.isnan(m[i, j])], "row int, column int, value double")
+        both = {(i, j): ~np.isnan(m[i]) & ~np.isnan(m[j]) for i in range(20) for j in range(20)}
+        z = np.nan_to_num(m)
+        norm = np.linalg.norm(z, axis=1)
+        got = {(r.i, r.j): r.value for r in stats.cosine(df).collect()}
+        assert got.keys() == {k for k, b in both.items() if b.any()} and all(math.isclose(v, z[i] @ z[j] / norm[i] / norm[j]) for (i, j), v in got.items())
+        got = {(r.i, r.j): r.value for r in stats.pearson(df).collect()}
+        assert got.keys() == {k for k, b in both.items() if b.any()}
+        for (i, j), v in got.items():
+            x, y = m[i][both[i, j]], m[j][both[i, j]]
+            flat = len(set(x)) < 2 or len(set(y)) < 2
+            assert v is None if flat else math.isclose(v, np.corrcoef(x, y)[0, 1], abs_tol=1e-9)
+        if share == 1.0:
+            got = {(r.i, r.j): r.value for r in stats.chebyshev(df).collect()}
+            assert len(got) == 400 and all(v == np.abs(m[i] - m[j]).max() for (i, j), v in got.items())
+
+
+@pytest.mark.parametrize("name", ["LA_01_jaccard", "LA_02_cosine", "LA_03_06_pearson", "LA_04_spearman", "LA_05_pairwise"])
+def test_similarities_dont_join_by_column(spark, name):
+    """A join by column makes a row for each pair and column."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join Inner, (column" in line for line in plan.splitlines())
