@@ -146,3 +146,20 @@ def test_similarities_dont_join_by_column(spark, name):
     """A join by column makes a row for each pair and column."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Join Inner, (column" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_knn_keeps_ties_by_id(spark, monkeypatch, metric):
+    """Thirty equal points: more ties than the eight that a block kept beyond k before; several blocks."""
+    from fraglens.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    v = np.vstack([np.tile([0.6, 0.8, 0.1], (30, 1)), rng.random((20, 3))])
+    ids = rng.permutation(1000)[:50]
+    got = neighbors.knn(spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id long, v array<double>"), 4, metric).collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    far = lambda a, b: 1 - (u[a] * u[b]).sum() if metric == "cosine" else np.linalg.norm(v[a] - v[b])
+    want = {(int(ids[a]), r + 1): (int(j), d) for a in range(50) for r, (d, j) in enumerate(sorted((round(far(a, b), 12), int(ids[b])) for b in range(50) if b != a)[:4])}
+    assert {(r.i, r["rank"]): r.j for r in got} == {k: x[0] for k, x in want.items()}
+    assert all(abs(r.dist - want[r.i, r["rank"]][1]) < 1e-9 for r in got)
