@@ -163,3 +163,25 @@ def test_knn_keeps_ties_by_id(spark, monkeypatch, metric):
     want = {(int(ids[a]), r + 1): (int(j), d) for a in range(50) for r, (d, j) in enumerate(sorted((round(far(a, b), 12), int(ids[b])) for b in range(50) if b != a)[:4])}
     assert {(r.i, r["rank"]): r.j for r in got} == {k: x[0] for k, x in want.items()}
     assert all(abs(r.dist - want[r.i, r["rank"]][1]) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("up, down", [(300, 40), (0, 90), (120, 0)])
+def test_links_against_pairs(spark, up, down):
+    """Uneven domains on both strands, genes in two spellings, sites near base 0 and in regions."""
+    from fraglens.operators import network
+
+    rng = np.random.default_rng(6)
+    tx = [(["g1", "G1", "g2", "g3"][rng.integers(4)], "chr1", int(a), int(a + rng.integers(1, 400)), "+-"[rng.integers(2)]) for a in rng.integers(1, 6000, 60)]
+    regions = [("chr1", int(a), int(a + rng.integers(1, 150)), k) for k, a in enumerate(rng.integers(0, 6000, 120))]
+    want: dict[tuple[str, int], int] = {}
+    for gene, _, left, right, strand in tx:
+        t = left - 1 if strand == "+" else right - 1
+        low, high = (max(0, t - up), t + down) if strand == "+" else (max(0, t - down), t + up)
+        for _, s, e, k in regions:
+            if s < high and low < e and low < high:
+                d = 0 if s <= t < e else min(abs(s - t), abs(e - t))
+                want[gene.upper(), k] = min(d, want.get((gene.upper(), k), d))
+    got = network.link_regions(spark.createDataFrame(regions, "chrom string, start long, end long, region_id long"), spark.createDataFrame(tx, "gene string, chrom string, left long, right long, strand string"), up, down)
+    assert {(r.gene, r.region_id): r.distance for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
