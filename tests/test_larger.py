@@ -185,3 +185,20 @@ def test_links_against_pairs(spark, up, down):
     assert {(r.gene, r.region_id): r.distance for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_consensus_by_block(spark, monkeypatch):
+    """Several blocks, a point that is absent from a run, a null label; no join of the points with each other."""
+    from fraglens.operators import cluster, products
+
+    monkeypatch.setattr(products, "BLOCK", 8)
+    runs = [(r, i, (i * r) % 4) for r in (3, 5, 6) for i in range(30) if (r, i) != (5, 7)] + [(5, 30, None)]
+    want: dict[tuple[int, int], float] = {}
+    for r, i, a in runs:
+        for q, j, b in runs:
+            if r == q and a == b and a is not None:
+                want[i, j] = want.get((i, j), 0) + 1 / 3
+    got = cluster.consensus(spark.createDataFrame(runs, "run int, id long, label long"))
+    found = {(r.i, r.j): r.m for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(v - want[k]) < 1e-12 for k, v in found.items())
+    assert "Join Inner, (" not in got._jdf.queryExecution().optimizedPlan().toString()
