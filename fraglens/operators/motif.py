@@ -81,11 +81,17 @@ def scan(sequences: DataFrame, motifs: list[Motif], p_value: float = 1e-5, both_
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for region, seq in zip(pdf["region_id"], pdf["seq"], strict=True):
-                strands = [seq, reverse_complement(seq)] if both_strands else [seq]
-                out += [(region, m.id) for m, limit in limits if any(scores(m, x).max(initial=-np.inf) >= limit for x in strands)]
-            yield pd.DataFrame(out, columns=["region_id", "motif_id"])
+            names, seqs = pdf["region_id"].to_numpy(), [x or "" for x in pdf["seq"]]
+            hit = np.zeros((len(names), len(limits)), dtype=bool)
+            owner = np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])
+            joined = "".join(seqs)  # all of a batch at once; starts whose motif reaches into the next sequence don't count
+            for text, of in ((joined, owner), (reverse_complement(joined), owner[::-1]))[: 1 + both_strands]:
+                for k, (m, limit) in enumerate(limits):
+                    value = scores(m, text)
+                    at = np.flatnonzero(value >= limit)
+                    hit[of[at][of[at] == of[at + len(m.pwm) - 1]], k] = True
+            i, k = np.nonzero(hit)
+            yield pd.DataFrame({"region_id": names[i], "motif_id": [limits[x][0].id for x in k]})
 
     return sequences.select("region_id", "seq").mapInPandas(run, f"region_id {kind}, motif_id string")
 
