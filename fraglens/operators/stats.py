@@ -47,17 +47,61 @@ def modified_zscore(rows: DataFrame, by: str, value: str = "value") -> DataFrame
     return dev.join(mad, by).join(F.broadcast(least)).withColumn("z", 0.6745 * (F.col(value) - F.col("_med")) / F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(F.col("_least"))).drop("_med", "_dev", "_mad", "_least")
 
 
+#: The share of rows, each way, within which a sketch of its inverse's accuracy finds a quantile.
+SKETCH = 1e-4
+
+
+def quantiles(rows: DataFrame, shares: Sequence[float], value: str = "value") -> list[float | None]:
+    """The exact quantiles of value, interpolated; nulls take no part and NaN is largest.
+
+    A sketch tells between which values each one lies; the values there, a few of ten thousand, are then counted one by
+    one and all others together, so no task holds all of them.
+    """
+    x = rows.select(F.col(value).cast("double").alias("x")).where("x is not null")
+    near = [min(1.0, max(0.0, q + d)) for q in shares for d in (-2 * SKETCH, 2 * SKETCH)]
+    number = F.when(~F.isnan("x"), F.col("x"))
+    seen = x.agg(F.count("*").alias("n"), F.count(number).alias("m"), F.percentile_approx(number, near, int(1 / SKETCH)).alias("ends")).first()
+    if not seen.n:
+        return [None for _ in shares]
+    merged: list[list[float]] = []
+    for a, b in sorted(zip(seen.ends[::2], seen.ends[1::2], strict=True)) if seen.m else []:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    place = F.lit(2 * len(merged))
+    for k, (a, b) in reversed(list(enumerate(merged))):
+        place = F.when(F.col("x") < a, 2 * k).when(F.col("x") <= b, 2 * k + 1).otherwise(place)
+    place = F.when(F.isnan("x"), 2 * len(merged)).otherwise(place)
+    counted = x.select(place.alias("k"), "x").groupBy("k", F.when(F.col("k") % 2 == 1, F.col("x")).alias("x")).count().toArrow()
+    kind, values, counts = (counted.column(c).to_numpy() for c in ("k", "x", "count"))
+    order = np.lexsort((values, kind))
+    kind, values, total = kind[order], values[order], np.cumsum(counts[order])
+    out: list[float | None] = []
+    for q in shares:
+        position = (seen.n - 1) * q
+        ends = []
+        for rank in (int(np.floor(position)), int(np.ceil(position))):
+            at = int(np.searchsorted(total, rank, side="right"))
+            if rank < seen.m and kind[at] % 2 == 0:  # outside of what the sketch has told
+                return list(rows.agg(F.percentile(F.col(value).cast("double"), list(shares))).first()[0])
+            ends.append(float(values[at]) if rank < seen.m else float("nan"))
+        low, high = ends
+        out.append(low if low == high else (np.ceil(position) - position) * low + (position - np.floor(position)) * high if position % 1 else low)
+    return [float(v) if v is not None else None for v in out]
+
+
 def clip_quantile(rows: DataFrame, q: float = 0.999, value: str = "value") -> DataFrame:
     """Values capped at their q-quantile."""
-    cap = rows.agg(F.percentile(value, F.lit(q)).alias("_cap"))
-    return rows.join(F.broadcast(cap)).withColumn(value, F.least(value, "_cap")).drop("_cap")
+    (cap,) = quantiles(rows, [q], value)
+    return rows.withColumn(value, F.least(value, F.lit(cap).cast("double")))
 
 
 def min_max(rows: DataFrame, low: float = 0.01, high: float = 0.90, value: str = "value") -> DataFrame:
     """Values scaled so that the two percentiles are 0 and 1, and cut there."""
-    ends = rows.agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))
-    scaled = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    return rows.join(F.broadcast(ends)).withColumn(value, F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled))).drop("_lo", "_hi")
+    lo, hi = (F.lit(v).cast("double") for v in quantiles(rows, [low, high], value))
+    scaled = F.try_divide(F.col(value) - lo, hi - lo)
+    return rows.withColumn(value, F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled)))
 
 
 def elbow(values: DataFrame, share: float = 0.01) -> DataFrame:

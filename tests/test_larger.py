@@ -216,3 +216,27 @@ def test_scan_takes_a_batch_at_once(spark, monkeypatch):
         found = motif.scan(spark.createDataFrame(list(enumerate(seqs)), "region_id long, seq string"), motifs, 0.02, both).collect()
         assert {(r.region_id, r.motif_id) for r in found} == want and len(found) == len(want) > 10
     assert "for region, seq in" not in __import__("inspect").getsource(motif.scan)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e-12])
+def test_quantiles_are_exact(spark, shift):
+    """Ties, nulls, NaN as the largest, infinities, values very near each other; no task holds every value."""
+    from fraglens.operators import stats
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(5.0, 700), rng.normal(size=900) * (shift or 1) + 3, rng.integers(0, 9, 400), [np.inf, -np.inf]])
+    shares = [0.0, 0.01, 0.3, 0.5, 0.9, 0.999, 1.0]
+    rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 20, "value double")
+    assert stats.quantiles(rows, shares) == [rows.selectExpr(f"percentile(value, {q}) p").first().p for q in shares]
+    assert np.isnan(stats.quantiles(rows.union(spark.createDataFrame([(float("nan"),)] * 50, "value double")), [0.99])[0])
+    assert stats.quantiles(rows.where("value > 1e300 and value < 0"), shares) == [None] * 7
+    plan = stats.min_max(stats.clip_quantile(rows.where("value between -9 and 9")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "Aggregate" not in plan
+
+
+def test_quantiles_of_more_values_than_the_sketch(spark):
+    from fraglens.operators import stats
+
+    rows = spark.range(200_000, numPartitions=4).selectExpr("cast(hash(id) as double) as value")
+    shares = [0.01, 0.5, 0.9, 0.999]
+    assert stats.quantiles(rows, shares) == list(rows.selectExpr(f"percentile(value, array({','.join(map(str, shares))})) p").first().p)
