@@ -240,3 +240,24 @@ def test_quantiles_of_more_values_than_the_sketch(spark):
     rows = spark.range(200_000, numPartitions=4).selectExpr("cast(hash(id) as double) as value")
     shares = [0.01, 0.5, 0.9, 0.999]
     assert stats.quantiles(rows, shares) == list(rows.selectExpr(f"percentile(value, array({','.join(map(str, shares))})) p").first().p)
+
+
+def test_approximate_neighbours_make_no_pairs(spark, monkeypatch):
+    """As by a join on the buckets, but no join; blocks of few points."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from fraglens.operators import neighbors
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(4, 6))
+    points = spark.createDataFrame([(k, (centres[k % 4] + rng.normal(size=6) * 0.3).tolist()) for k in range(90)], "id long, v array<double>")
+    data = points.select("id", array_to_vector("v").alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.4, numHashTables=3, seed=0).fit(data)
+    pairs = model.approxSimilarityJoin(data, data, 1.0, "dist").where("datasetA.id <> datasetB.id").select(F.col("datasetA.id").alias("i"), F.col("datasetB.id").alias("j"), "dist").collect()
+    want = {(i, r.j): r.dist for i in range(90) for r in sorted((r for r in pairs if r.i == i), key=lambda r: (r.dist, r.j))[:5]}
+    monkeypatch.setattr(neighbors, "WIDE", 40)
+    got = neighbors.knn_lsh(points, 5, bucket=0.4, tables=3, reach=1.0)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.i, r.j): r.dist for r in got.collect()} == pytest.approx(want) and len({i for i, _ in want}) > 50
