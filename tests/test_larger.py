@@ -290,3 +290,25 @@ def test_correlations_by_blocks(spark, monkeypatch, kind):
         n += want is not None
     assert n > 100 and got.count() == edges.count()
     assert " = cell#" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("part", [5, 1 << 12])
+def test_regressions_by_packed_rows(spark, monkeypatch, part):
+    """Children with several parents, without any, with a cell that a parent lacks; no group of cells goes to pandas."""
+    from fraglens.operators import network
+
+    rng = np.random.default_rng(6)
+    values = rng.normal(size=(30, 17))
+    m = spark.createDataFrame([(c, f"g{k}", float(values[k, c])) for k in range(30) for c in range(17) if (k, c) != (4, 3)], "cell int, id string, value double")
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 28, (70, 2)) if a != b}
+    monkeypatch.setattr(network, "PART", part)
+    scores = network.regression_scores(spark.createDataFrame([(f"g{a}", f"g{b}") for a, b in pairs] + [("g1", "none"), ("none", "g29")], "src string, dst string"), m, m, 0.01)
+    assert "Pandas" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.src, r.dst): (r.regr_score, r.fitness) for r in scores.collect()}
+    assert set(got) == {(f"g{a}", f"g{b}") for a, b in pairs}
+    for b in {b for _, b in pairs}:
+        own = sorted((a for a, d in pairs if d == b), key=lambda a: f"g{a}")
+        cells = [c for c in range(17) if c != 3 or 4 not in [*own, b]]
+        full = np.column_stack([np.ones(len(cells)), values[own][:, cells].T, values[b, cells]])
+        beta, fitness = network.elastic_net(full.T @ full, 0.01, 0.5)
+        assert [got[f"g{a}", f"g{b}"] for a in own] == [(pytest.approx(v, abs=1e-9), pytest.approx(fitness, abs=1e-9)) for v in beta]
