@@ -262,8 +262,16 @@ def link_fingerprints(fps: DataFrame, tau: int) -> DataFrame:
     return _in_cells(deal(fps, thresholds(fps, tau)), ["fp", "node"], link).where("u <> v")
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of pairs (u, v) with repeats, for each end the one that occurs most often: as many as there are ends at most."""
+    counted = pairs.groupBy("u", "v").count()
+    ends = F.explode(F.array(F.struct(F.col("u").alias("end"), F.col("v").alias("other")), F.struct(F.col("v").alias("end"), F.col("u").alias("other")))).alias("e")
+    best = counted.select(ends, "count").groupBy("e.end").agg(F.max(F.struct("count", "e.other")).alias("best")).select("end", "best.other")
+    return best.select(F.least("end", "other").alias("u"), F.greatest("end", "other").alias("v")).distinct()
+
+
 def close_neighbours(fps: DataFrame, tau: int) -> DataFrame:
-    """(u, v), u < v: nodes (fps: fp, node) that have one fingerprint, or within tau bits of each other's; n - 1 for n at most in each cell."""
+    """(u, v), u < v: nodes (fps: fp, node) that have one fingerprint, or within tau bits of each other's; twice as many as nodes at most."""
     own = materialise(fps.groupBy("fp").agg(F.min("node").alias("node")))
     equal = fps.join(own.withColumnRenamed("node", "low"), "fp").where("node > low").select(F.col("low").alias("u"), F.col("node").alias("v"))
 
@@ -276,7 +284,7 @@ def close_neighbours(fps: DataFrame, tau: int) -> DataFrame:
         u, v = node[a[first]], node[b[first]]
         return np.minimum(u, v), np.maximum(u, v)
 
-    return equal.unionByName(_in_cells(deal(own, thresholds(own, tau)), ["fp", "node"], link).where("u <> v")).distinct()
+    return equal.unionByName(_best(_in_cells(deal(own, thresholds(own, tau)), ["fp", "node"], link).where("u <> v")))
 
 
 def simhash_components(docs: DataFrame, width: int = 3, tau: int = 3) -> DataFrame:
@@ -456,8 +464,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     similar share a shingle among the first n - ceil(similarity * n) + 1 of each one's n in any fixed order, so pairs
     that share none there can be left out without loss, and so can those whose bitmaps differ too much. Pairs are
     verified in rounds: first those whose SimHash fingerprints meet in a cell and are within TAU bits, then, so that
-    none is lost that the fingerprints leave out, neighbours in each shingle's list, so that a group of n copies takes
-    about n pairs. At the end every pair between texts still apart is compared in the shingles' lists, by place in the
+    none is lost that the fingerprints leave out, neighbours in the shingles' lists, each text's most frequent one, so that
+    a round takes a pair for each text at most, however many lists its group shares. At the end every pair between texts still apart is compared in the shingles' lists, by place in the
     prefix and by bitmap; only what both allow leaves a list: first as many pairs as join its texts, then every one that
     is left. Equal texts count as one, and so do texts without words.
     """
@@ -528,7 +536,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
                 u, v = _chain({c: table.column(c).to_numpy() for c in ("token", "node", "size", "label")}, similarity, chain)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-        return left.select("token", "node", "size", "label").repartition(n, "token").sortWithinPartitions("token").mapInArrow(run, "u long, v long").distinct()
+        return left.select("token", "node", "size", "label").repartition(n, "token").sortWithinPartitions("token").mapInArrow(run, "u long, v long")
 
     columns = ["token", "node", "size", "pos", "prev", "label"]
 
@@ -568,7 +576,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         if step in ("spanning", "all"):
             pairs = likely = materialise(compared(left, step == "spanning").join(tried, ["u", "v"], "left_anti"))
         else:
-            met = close_neighbours(bitmaps.select("fp", "node"), TAU) if step == "fingerprints" else chained(left, step)
+            met = close_neighbours(bitmaps.select("fp", "node"), TAU) if step == "fingerprints" else _best(chained(left, step))
             pairs = materialise(met.join(tried, ["u", "v"], "left_anti"))
             drawn = pairs.join(bitmaps.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("bitmap").alias("a")), "u").join(bitmaps.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("bitmap").alias("b")), "v")
             likely = materialise(drawn.select("u", "v", "m", "n", "a", "b").mapInArrow(slim(alike), "u long, v long"))

@@ -700,3 +700,40 @@ def test_repeats_are_found_in_steps_that_leave_no_shuffle_files(spark, docs):
             break
         time.sleep(0.1)
     assert not left and spans.toArrow().num_rows > 0 and not _shuffle_files(spark) - before
+
+
+def test_near_copies_take_few_pairs(spark, monkeypatch):
+    """A group of near copies of which many share each shingle: a round takes a pair for each text at most, and none is lost."""
+    from fraglens.llm import common, simhash
+
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(140)]
+    texts = []
+    for _ in range(300):
+        own = list(base)
+        for k in rng.integers(0, 140, rng.integers(1, 9)):
+            own[k] = f"x{rng.integers(1 << 40)}"
+        texts.append(" ".join(own))
+    rounds = []
+
+    def spied(df):
+        out = common.materialise(df)
+        if df.columns == ["u", "v"]:
+            rounds.append(out.count())
+        return out
+
+    fps = spark.createDataFrame([(int(a) | int(b) << 20, k) for k, (a, b) in enumerate({tuple(x) for x in (1 << rng.integers(0, 20, (400, 2))).tolist()})], "fp long, node long")
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    assert simhash.close_neighbours(fps, 4).count() <= 2 * fps.count()
+    monkeypatch.setattr(simhash, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(simhash, "materialise", spied)
+    got = {r.node: r.root for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [set(simhash.shingles(simhash.words_of(t), 5)) for t in texts]
+    root = list(range(300))
+    for a in range(300):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert got == {k: r for k, r in enumerate(root) if root.count(r) > 1 and k != r} and len(got) > 100
+    assert max(rounds[: len(rounds) // 2]) <= 600
