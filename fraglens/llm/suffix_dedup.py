@@ -31,8 +31,8 @@ HOT = 768
 CHUNKS = (32, 4)
 #: Bytes that never stand in UTF-8: between fragments, and after the last.
 BETWEEN, AFTER = 0xFF, 0xC0
-#: Bytes of text that are hashed at once; fragments that are read at once, and bytes of theirs that a suffix array takes (or one anchor).
-SLAB, ROWS, SHARD = 1 << 20, 8192, 3 << 20
+#: Bytes of text that are hashed at once, so few that they stay in a core's cache; fragments that are read at once, and bytes of theirs that a suffix array takes (or one anchor).
+SLAB, ROWS, SHARD = 1 << 16, 8192, 3 << 20
 #: Words of an anchor of a window of words, and bytes of a word that is spelt out; longer ones are told apart by a 128-bit hash.
 ANCHOR_WORDS, SPELT = 8, 32
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -96,28 +96,42 @@ def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_fragments(raw: bytes, words: int) -> tuple[np.ndarray, ...]:
-    """(first window, windows, anchor's place after it, anchor's hash) of each fragment of windows of `words` words."""
-    own = raw.split()
-    n = len(own)
-    if n < words:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
-    w = np.fromiter(map(xxhash.xxh64_intdigest, own), dtype=np.uint64, count=n)
+def word_fragments(texts: list[bytes], words: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(index of the text, first window, windows, anchor's place after it, anchor's hash) of each fragment of windows of `words` words."""
     short = min(ANCHOR_WORDS, words)
-    h = np.zeros(n - short + 1, dtype=np.uint64)
-    for i in range(short):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w[i : n - short + 1 + i]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    place = _leftmost_least(h, words - short + 1)
-    cuts = bounds(place)
-    first = cuts[:-1]
-    return first, np.diff(cuts), place[first] - first, h[place[first]].view(np.int64)
-
-
-def _spelt(own: list[bytes]) -> bytes:
-    """Words between single spaces, one before the first and one after the last."""
-    return b" " + b" ".join([w if len(w) <= SPELT else b"\x01" + xxhash.xxh3_128_hexdigest(w).encode() for w in own]) + b" "
+    at = 0
+    while at < len(texts):
+        doc: list[int] = []
+        w: list[int] = []
+        lengths: list[int] = []
+        while at < len(texts) and len(w) < SLAB >> 3:  # as many hashes as stay in a core's cache
+            own = texts[at].split()
+            if len(own) >= words:
+                doc.append(at)
+                lengths.append(len(own))
+                w.extend(map(xxhash.xxh64_intdigest, own))
+            at += 1
+        if not doc:
+            continue
+        hashes, n = np.array(w, dtype=np.uint64), len(w)
+        h = np.zeros(n - short + 1, dtype=np.uint64)
+        for i in range(short):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n - short + 1 + i]
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        place = _leftmost_least(h, words - short + 1)
+        ends = np.cumsum(lengths)
+        own = np.repeat(np.arange(len(doc)), lengths)[: len(place)]
+        where = np.flatnonzero(np.arange(len(place)) + words <= ends[own])
+        cuts = bounds(place[where])  # a text's windows never share an anchor place with another's
+        first, many = where[cuts[:-1]], np.diff(cuts)
+        start = (ends - lengths)[own[first]]
+        yield np.array(doc)[own[first]], first - start, many, place[first] - first, h[place[first]].view(np.int64)
+
+
+def _spelt(own: list[bytes]) -> list[bytes]:
+    """The words as they are spelt in a fragment, where one space stands before each and one after the last."""
+    return [w if len(w) <= SPELT else b"\x01" + xxhash.xxh3_128_hexdigest(w).encode() for w in own]
 
 
 def _occurrences(words: int | None):
@@ -129,10 +143,7 @@ def _occurrences(words: int | None):
             texts = [t.encode() for t in b.column(1).to_pylist()]
             parts = [(doc, first, n, place, key, np.zeros(len(key), dtype=bool)) for doc, first, n, place, key in fragments(texts)]
             if words is not None:
-                for i, raw in enumerate(texts):
-                    first, n, place, key = word_fragments(raw, words)
-                    if len(key):
-                        parts.append((np.full(len(key), i), first, n, place, key, np.ones(len(key), dtype=bool)))
+                parts += [(doc, first, n, place, key, np.ones(len(key), dtype=bool)) for doc, first, n, place, key in word_fragments(texts, words)]
             if not parts:
                 continue
             doc, first, n, place, key, by_words = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -154,13 +165,13 @@ def _cut(words: int | None):
         for b in batches:
             for t, text, asked in zip(*(b.column(c).to_pylist() for c in ("t", "text", "asked")), strict=True):
                 raw = text.encode()
-                own = raw.split() if any(a["words"] for a in asked) else []
+                own = _spelt(raw.split()) if any(a["words"] for a in asked) else []
                 rows: list[list] = [[] for _ in types]
                 for a in asked:
                     equal: dict[tuple[int, bytes], list[int]] = {}
                     for x in a["at"]:
                         i, n = x["first"], x["n"]
-                        content = _spelt(own[i : i + n + words - 1]) if a["words"] else raw[i : i + n + WIDTH - 1]
+                        content = b" %b " % b" ".join(own[i : i + n + words - 1]) if a["words"] else raw[i : i + n + WIDTH - 1]
                         equal.setdefault((x["place"], content), []).append(i)
                     for (place, content), firsts in equal.items():
                         for c, v in zip(rows, (a["key"], a["words"], xxhash.xxh3_128_digest(content), t, firsts, place, content), strict=True):
@@ -244,12 +255,12 @@ def _word_runs(groups: list[list[bytes]], words: int) -> list[list[list[list[int
 
     Words are numbered, and spelt by digits that tell their places apart, so that no window starts within a word.
     """
-    own = [[c.split() for c in g] for g in groups]
-    number = {w: i for i, w in enumerate(sorted({w for g in own for c in g for w in c}))}
+    number: dict[bytes, int] = {}
+    own = [np.array([number.setdefault(w, len(number)) for w in c.split()], dtype=np.int64) for g in groups for c in g]
     digits = 2 if len(number) <= 100**2 else 4
     base = 200 // digits
-    code = np.array([[i // base**d % base + base * d for d in range(digits)] for i in range(len(number))], dtype=np.uint8).reshape(-1, digits)
-    parts = [code[[number[w] for w in c]].ravel() for g in own for c in g]
+    code = np.stack([np.arange(len(number)) // base**d % base + base * d for d in range(digits)], axis=1).astype(np.uint8)
+    parts = [code[c].ravel() for c in own]
     found = iter(_array_runs(parts, digits, digits * words))
     return [[next(found) for _ in g] for g in groups]
 

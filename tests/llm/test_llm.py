@@ -737,3 +737,17 @@ def test_near_copies_take_few_pairs(spark, monkeypatch):
                 root = [min(x, y) if r in (x, y) else r for r in root]
     assert got == {k: r for k, r in enumerate(root) if root.count(r) > 1 and k != r} and len(got) > 100
     assert max(rounds[: len(rounds) // 2]) <= 600
+
+
+def test_word_fragments_of_many_texts(monkeypatch):
+    """Texts that are hashed together have the fragments that each has alone; every window is in one of them."""
+    from fraglens.llm import suffix_dedup
+
+    rng = np.random.default_rng(9)
+    texts = [b"", b"a " * 9, b" b" * 10, *(b" ".join(b"%d" % k for k in rng.integers(0, 4, n)) for n in (5, 30, 9, 10, 11, 200))]
+    alone = [(k, *x) for k, t in enumerate(texts) for part in suffix_dedup.word_fragments([t], 10) for x in zip(*(c.tolist() for c in part[1:]), strict=True)]
+    for slab in (8, 400, 1 << 16):
+        monkeypatch.setattr(suffix_dedup, "SLAB", slab)
+        assert [x for part in suffix_dedup.word_fragments(texts, 10) for x in zip(*(c.tolist() for c in part), strict=True)] == alone
+    for k, t in enumerate(texts):
+        assert sorted(i for d, first, n, _, _ in alone if d == k for i in range(first, first + n)) == list(range(max(0, len(t.split()) - 9)))
