@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fraglens.llm.common import bounds, discard, forest, materialise, slim, tune, whole_groups
 from fraglens.llm.components import connected_components
@@ -305,10 +306,10 @@ def simhash_components(docs: DataFrame, width: int = 3, tau: int = 3) -> DataFra
 
 #: Documents whose shingles are counted to put common ones last; only the order depends on it, never the result.
 ORDER_DOCS, COMMON = 8192, 65536
-#: Pairs of a prefix shingle, per row, that are all compared at once; while there are more, chains are verified first.
+#: Pairs of a prefix shingle, per row, that are all compared at once; where there are more, so many chains of neighbours come first.
 PAIRS_PER_ROW, CHAINS = 16, 6
-#: A further chain is worth its round if one in so many pairs of the last one linked.
-WORTH = 16
+#: Shingles' lists are dealt to so many shares; a round takes the next of these numbers of them, so that its pairs join most of a group before others are looked at.
+SHARES, ROUNDS = 16, (1, 3, 12)
 #: Pairs that a task compares at once.
 PART = 1 << 16
 #: Words of a run in the fingerprints of near_copies(), and bits within which they propose pairs (as in simhash_components).
@@ -372,19 +373,6 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _chain(x: dict[str, np.ndarray], similarity: float, chain: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs next to each other in a cell that have different labels and sizes that allow the similarity.
-
-    Chain 0 goes by size, others by an order of their own.
-    """
-    mixed = x["size"] if chain == 0 else (x["node"].astype(np.uint64) * _MIX[0] + np.uint64(chain)) * _MIX[1] >> _MIX[2]
-    order = np.lexsort((x["node"], mixed, x["token"]))
-    token, node, size, label = (x[c][order] for c in ("token", "node", "size", "label"))
-    low, high = np.minimum(size[1:], size[:-1]), np.maximum(size[1:], size[:-1])
-    at = np.flatnonzero((token[1:] == token[:-1]) & (label[1:] != label[:-1]) & (low >= similarity * high - 1e-9))
-    return np.minimum(node[at], node[at + 1]), np.maximum(node[at], node[at + 1])
-
-
 def _across(x: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs in one cell with different labels that may reach the similarity, a part at a time; x is sorted by token, label.
 
@@ -415,46 +403,83 @@ def _runs(x: dict[str, np.ndarray]) -> np.ndarray:
     return np.cumsum(np.concatenate([[False], (x["token"][1:] != x["token"][:-1]) | (x["label"][1:] != x["label"][:-1])]))
 
 
-def _likely(x: dict[str, np.ndarray], bitmaps: np.ndarray, similarity: float, spanning: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of _across() whose bitmaps allow the similarity: all, or only those that join what is apart in their cell.
+def _most(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """By how many shingles the sets a[i] and b[i] of this similarity differ at most."""
+    return (1 - similarity) / (1 + similarity) * (x["size"][a] + x["size"][b]) + 1e-9
+
 
-    What joins is likely to link: spots on which several differences fall are reckoned with, too.
+def _partnered(x: dict[str, np.ndarray], bitmaps: np.ndarray, heads: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether each row is in a pair of _across() whose bitmaps allow the similarity and that shares no token before this one.
+
+    heads: the tokens of each row's prefix before its own. A pair shares its first token in one cell only.
+    """
+    keep = np.zeros(len(bitmaps), dtype=bool)
+    known: dict[int, frozenset[int]] = {}
+
+    def head(k: int) -> frozenset[int]:
+        if k not in known:
+            known[k] = frozenset(heads[k].tolist())
+        return known[k]
+
+    for every in _across(x, similarity):
+        for at in range(0, len(every[0]), PART >> 3):
+            a, b = (e[at : at + (PART >> 3)] for e in every)
+            new = ~(keep[a] & keep[b])
+            a, b = a[new], b[new]
+            ok = _differ(bitmaps[a].tolist(), bitmaps[b].tolist()) <= _most(x, a, b, similarity)
+            for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                if not (keep[i] and keep[j]) and head(i).isdisjoint(head(j)):
+                    keep[i] = keep[j] = True
+    return keep
+
+
+def _joining(x: dict[str, np.ndarray], bitmaps: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows whose sets have the similarity: as many as join all labels of a cell that such pairs of _across() join.
+
+    Every pair is compared unless others have joined it; neighbours come first, by size and in orders of their own.
     """
     run = _runs(x)
     root = np.arange(run[-1] + 1)
-    spots = 8 * np.fromiter(map(len, bitmaps), dtype=np.int64, count=len(bitmaps))
+    found: list[tuple[int, int]] = []
 
     def find(k: int) -> int:
         while root[k] != k:
-            k = root[k]
+            root[k] = k = root[root[k]]
         return k
 
-    for every in _across(x, similarity):
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        apart = root[run[a]] != root[run[b]]
+        a, b = a[apart], b[apart]
+        differ = _differ(bitmaps[a].tolist(), bitmaps[b].tolist())
+        ok = differ <= _most(x, a, b, similarity)
+        a, b, share = a[ok], b[ok], (differ / (x["size"][a] + x["size"][b]))[ok]
+        order = np.argsort(share, kind="stable")  # the closest first
+        for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            p, q = find(run[i]), find(run[j])
+            if p == q:
+                continue
+            both = np.sort(np.concatenate([sets[i], sets[j]]))
+            n = int(np.count_nonzero(both[1:] == both[:-1]))
+            if n >= similarity * (len(both) - n):
+                root[max(p, q)] = min(p, q)
+                found.append((i, j))
+        while not np.array_equal(root, root[root]):
+            root[:] = root[root]
+
+    many = np.diff(bounds(x["token"]))
+    if (many * many).sum() > 2 * PAIRS_PER_ROW * len(run):
+        for chain in range(CHAINS):
+            mixed = x["size"] if chain == 0 else (x["node"].astype(np.uint64) * _MIX[0] + np.uint64(chain)) * _MIX[1] >> _MIX[2]
+            order = np.lexsort((x["node"], mixed, x["token"]))
+            a, b = order[:-1], order[1:]
+            same = x["token"][a] == x["token"][b]
+            compare(a[same], b[same])
+    order = np.lexsort((root[run], x["token"]))
+    for every in _across({c: v[order] for c, v in (x | {"label": root[run]}).items()}, similarity):
         for at in range(0, len(every[0]), PART >> 3):
-            a, b = (e[at : at + (PART >> 3)] for e in every)
-            if spanning:
-                open_ = root[run[a]] != root[run[b]]
-                a, b = a[open_], b[open_]
-            differ = _differ(bitmaps[a].tolist(), bitmaps[b].tolist())
-            both = x["size"][a] + x["size"][b]
-            most = (1 - similarity) / (1 + similarity) * both + 1e-9
-            if spanning:
-                n = np.minimum(spots[a], spots[b])
-                differ = -n / 2 * np.log(np.maximum(1 - 2 * differ / n, 1e-9))
-            ok = differ <= most
-            a, b, share = a[ok], b[ok], (differ / both)[ok]
-            if spanning:
-                joins = []
-                for k in np.argsort(share, kind="stable").tolist():  # the closest first
-                    p, q = find(run[a[k]]), find(run[b[k]])
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-                        joins.append(k)
-                a, b = a[joins], b[joins]
-                while not np.array_equal(root, root[root]):
-                    root = root[root]
-            if len(a):
-                yield a, b
+            compare(*(order[e[at : at + (PART >> 3)]] for e in every))
+    out = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -462,12 +487,12 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     Texts link when the Jaccard similarity of their sets of `width`-word shingles is at least `similarity`. Sets this
     similar share a shingle among the first n - ceil(similarity * n) + 1 of each one's n in any fixed order, so pairs
-    that share none there can be left out without loss, and so can those whose bitmaps differ too much. Pairs are
-    verified in rounds: first those whose SimHash fingerprints meet in a cell and are within TAU bits, then, so that
-    none is lost that the fingerprints leave out, neighbours in the shingles' lists, each text's most frequent one, so that
-    a round takes a pair for each text at most, however many lists its group shares. At the end every pair between texts still apart is compared in the shingles' lists, by place in the
-    prefix and by bitmap; only what both allow leaves a list: first as many pairs as join its texts, then every one that
-    is left. Equal texts count as one, and so do texts without words.
+    that share none there can be left out without loss, and so can those whose bitmaps differ too much. Pairs whose
+    SimHash fingerprints meet in a cell and are within TAU bits are verified first. Then, so that none is lost that the
+    fingerprints leave out, every pair between texts still apart is compared in the shingles' lists, by place in the
+    prefix, by bitmap and by the hashes of its shingles, where it shares its first one. A list gives no more pairs than join its
+    texts, and all that it gives have the similarity. The lists are taken in rounds, a small share of them first, and a round compares only
+    what those before have left apart; so pairs grow with the texts, not with their groups' squares. Equal texts count as one, and so do texts without words.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -499,13 +524,13 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     tokens = tokens.select("token", "node", "size", "pos", F.coalesce(F.get("first", F.col("pos") - 1), F.lit(0)).alias("prev"))
     cells = materialise(tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(slim(shared), "token long, node long, size int, pos int, prev long"))
     nodes = cells.select("node").distinct()
-    bitmaps = materialise(own.select("node", "size", "bitmap", "fp").join(nodes, "node", "left_semi"))
+    bitmaps = materialise(own.select("node", "size", "bitmap", "fp", "first").join(nodes, "node", "left_semi"))
     discard(own)
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """The texts of the pairs' ends, and others by chance, without moving those of all documents."""
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """The texts of the nodes (node), and others by chance, without moving those of all documents."""
         spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20))
-        asked = pairs.select(spot("u").alias("s")).union(pairs.select(spot("v"))).distinct().toArrow()  # at most 2^20 rows
+        asked = nodes.select(spot("node").alias("s")).distinct().toArrow()  # at most 2^20 rows
         mask = np.zeros(1 << 20, dtype=bool)
         mask[asked.column("s").to_numpy()] = True
         known = spark.sparkContext.broadcast(mask)
@@ -530,73 +555,69 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             most = (1 - similarity) / (1 + similarity) * (batch.column("m").to_numpy() + batch.column("n").to_numpy())
             yield batch.select(["u", "v"]).filter(pa.array(differ <= most + 1e-9))
 
-    def chained(left: DataFrame, chain: int) -> DataFrame:
-        def run(batches):
-            for table in whole_groups(batches, ["token"]):
-                u, v = _chain({c: table.column(c).to_numpy() for c in ("token", "node", "size", "label")}, similarity, chain)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-        return left.select("token", "node", "size", "label").repartition(n, "token").sortWithinPartitions("token").mapInArrow(run, "u long, v long")
+    def verified(likely: DataFrame) -> DataFrame:
+        text = texts_of(likely.select(F.col("u").alias("node")).union(likely.select("v")))
+        both = likely.join(text.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(text.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+        return materialise(both.select("u", "v", "a", "b").mapInArrow(slim(verify), "u long, v long"))
 
     columns = ["token", "node", "size", "pos", "prev", "label"]
+    numbers = lambda table: {c: table.column(c).to_numpy() for c in columns}
 
-    def partnered(batches):
+    def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+        column = column.combine_chunks()
+        flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        return [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def placed(batches):
         for table in whole_groups(batches, ["token"]):
             keep = np.zeros(table.num_rows, dtype=bool)
-            for a, b in _across({c: table.column(c).to_numpy() for c in columns}, similarity):
+            for a, b in _across(numbers(table), similarity):
                 keep[a] = keep[b] = True
             yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    def compared(left: DataFrame, spanning: bool) -> DataFrame:
-        """The pairs between labels that place and bitmaps allow; only rows that place allows a partner meet bitmaps."""
-
-        def run(batches):
-            for table in whole_groups(batches, ["token"]):
-                x = {c: table.column(c).to_numpy() for c in columns}
-                held = np.array(table.column("bitmap").to_pylist(), dtype=object)
-                for a, b in _likely(x, held, similarity, spanning):
-                    u, v = x["node"][a], x["node"][b]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+    def partnered(batches):
+        for table in whole_groups(batches, ["token"]):
+            keep = _partnered(numbers(table), np.array(table.column("bitmap").to_pylist(), dtype=object), lists(table.column("head")), similarity)
+            yield from table.drop_columns("head").filter(pa.array(keep)).combine_chunks().to_batches()
 
+    def hashed(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for at in range(0, len(texts), 100):
+                sets = pa.array([shingle_set(t, width) for t in texts[at : at + 100]], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 100), sets], ["node", "set"])
+
+    def joining(batches):
+        for table in whole_groups(batches, ["token"], rows=512):
+            x = numbers(table)
+            a, b = _joining(x, np.array(table.column("bitmap").to_pylist(), dtype=object), lists(table.column("set")), similarity)
+            u, v = x["node"][a], x["node"][b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    def compared(left: DataFrame) -> DataFrame:
+        """Pairs that link what is apart in each list. Bitmaps go only to rows that place allows a partner, shingles only to those that bitmaps allow one."""
         grouped = lambda rows: rows.repartition(n, "token").sortWithinPartitions("token", "label")
-        rows = materialise(grouped(left.select(columns)).mapInArrow(slim(partnered), left.select(columns).schema))
-        return grouped(rows.join(bitmaps.select("node", "bitmap"), "node")).select(*columns, "bitmap").mapInArrow(slim(run), "u long, v long").distinct()
-
-    left = cells.withColumn("label", F.col("node"))
-    linked = tried = spark.createDataFrame([], "u long, v long")
-    worth = True
-    for step in ["fingerprints", *range(CHAINS), "spanning", "all"]:
-        if isinstance(step, int):
-            if worth:
-                per = left.groupBy("token", "label").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-                size = per.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") - F.col("own")).alias("pairs")).first()
-                worth = (size.pairs or 0) > 2 * PAIRS_PER_ROW * (size.n or 0)
-            if not worth:
-                continue
-        if step in ("spanning", "all"):
-            pairs = likely = materialise(compared(left, step == "spanning").join(tried, ["u", "v"], "left_anti"))
-        else:
-            met = close_neighbours(bitmaps.select("fp", "node"), TAU) if step == "fingerprints" else _best(chained(left, step))
-            pairs = materialise(met.join(tried, ["u", "v"], "left_anti"))
-            drawn = pairs.join(bitmaps.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("bitmap").alias("a")), "u").join(bitmaps.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("bitmap").alias("b")), "v")
-            likely = materialise(drawn.select("u", "v", "m", "n", "a", "b").mapInArrow(slim(alike), "u long, v long"))
-        text = texts_of(likely)
-        both = likely.join(text.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(text.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-        fresh = materialise(both.select("u", "v", "a", "b").mapInArrow(slim(verify), "u long, v long"))
-        if likely is not pairs:
-            discard(likely)
-        linked = linked.unionByName(fresh)
-        if step == "all":
-            break
-        worth = step == "fingerprints" or fresh.count() * WORTH >= pairs.count()
-        tried = tried.unionByName(pairs)
+        shape = left.select(columns).schema
+        rows = materialise(grouped(left.select(columns)).mapInArrow(slim(placed), shape))
+        drawn = rows.join(bitmaps.select("node", "bitmap", "first"), "node").select(*columns, "bitmap", F.slice("first", 1, F.col("pos")).alias("head"))
+        close = materialise(grouped(drawn).mapInArrow(slim(partnered), StructType([*shape, *StructType.fromDDL("bitmap binary")])))
+        discard(rows)
+        sets = texts_of(close).mapInArrow(slim(hashed), "node long, set array<long>")
+        pairs = materialise(grouped(close.join(sets, "node").select(*columns, "bitmap", "set")).mapInArrow(slim(joining), "u long, v long").distinct())
+        discard(close)
+        return pairs
+
+    pairs = materialise(close_neighbours(bitmaps.select("fp", "node"), TAU))
+    drawn = pairs.join(bitmaps.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("bitmap").alias("a")), "u").join(bitmaps.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("bitmap").alias("b")), "v")
+    linked = verified(materialise(drawn.select("u", "v", "m", "n", "a", "b").mapInArrow(slim(alike), "u long, v long")))
+    share = F.pmod(F.xxhash64("token"), F.lit(SHARES))
+    done = 0
+    for shares in ROUNDS:
         labels = connected_components(linked)
-        labelled = cells.join(labels, "node", "left").select("token", "node", "size", "pos", "prev", F.coalesce("root", "node").alias("label"))
-        apart = labelled.groupBy("token").agg((F.min("label") < F.max("label")).alias("apart")).where("apart").select("token")
-        before, left = left, materialise(labelled.join(apart, "token", "left_semi"))
-        discard(before)
+        left = cells.where((share >= done) & (share < done + shares)).join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        linked = linked.unionByName(verified(compared(left)))
+        done += shares
     roots = connected_components(linked.unionByName(copies))
     discard(cells)
-    discard(left)
     discard(bitmaps)
     return roots

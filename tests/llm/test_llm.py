@@ -739,6 +739,65 @@ def test_near_copies_take_few_pairs(spark, monkeypatch):
     assert max(rounds[: len(rounds) // 2]) <= 600
 
 
+def test_near_copies_verify_few_pairs_of_a_group(spark, monkeypatch):
+    """Lists that all hold one group don't each give the pairs that join it, nor pairs that don't link, even if no neighbours come first."""
+    from fraglens.llm import common, simhash
+
+    rng = np.random.default_rng(21)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(600):
+        own = list(base)
+        for k in rng.integers(0, 150, rng.integers(1, 3)):
+            own[k] = f"x{rng.integers(1 << 40)}"
+        texts.append(" ".join(own))
+    rounds = []
+
+    def spied(df):
+        out = common.materialise(df)
+        if df.columns == ["u", "v"]:
+            rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "CHAINS", 0)
+    monkeypatch.setattr(simhash, "materialise", spied)
+    got = {r.node: r.root for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == _linked(texts) and len(got) > 400
+    assert sum(rounds) <= 4 * len(texts)
+
+
+def test_joins_of_a_list():
+    """What _joining() gives links, and joins all that the similarity joins, whatever comes first."""
+    from fraglens.llm import simhash
+
+    rng = np.random.default_rng(22)
+    sets, token = [], []
+    for t in range(3):
+        base = rng.integers(-(2**62), 2**62, 60)
+        for _ in range(40):
+            own = base[rng.random(60) > 0.02 * rng.integers(0, 9)]
+            sets.append(np.unique(np.concatenate([base[:1], own, rng.integers(-(2**62), 2**62, rng.integers(0, 6))])))
+            token.append(t)
+    n = len(sets)
+    x = {"token": np.array(token), "node": np.arange(n), "size": np.array(list(map(len, sets))), "pos": np.zeros(n, dtype=np.int64), "prev": np.zeros(n, dtype=np.int64), "label": np.arange(n) // 2 * 2}
+    jaccard = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    links = [(a, b) for a in range(n) for b in range(a) if token[a] == token[b] and jaccard(a, b) >= 0.8]
+    same = [(a, a + 1) for a in range(0, n, 2)]
+    bitmaps = np.array(list(map(simhash._bitmap, sets)), dtype=object)
+    parts = lambda pairs: simhash.forest(*np.array([*same, *pairs]).T, n).tolist()
+    for per_row, part in ((0, 1 << 16), (1 << 20, 1 << 16), (0, 64), (1 << 20, 64)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(simhash, "PAIRS_PER_ROW", per_row)
+            m.setattr(simhash, "PART", part)
+            a, b = simhash._joining(x, bitmaps, sets, 0.8)
+        assert all(jaccard(i, j) >= 0.8 for i, j in zip(a, b, strict=True))
+        assert parts(list(zip(a, b, strict=True))) == parts(links)
+        assert len(a) == len(set(parts([]))) - len(set(parts(links)))
+    kept = simhash._partnered(x, bitmaps, [np.zeros(0, dtype=np.int64)] * n, 0.8)
+    assert all(kept[a] and kept[b] for a, b in links if a // 2 != b // 2)
+    assert not simhash._partnered(x, bitmaps, [np.zeros(1, dtype=np.int64)] * n, 0.8).any()
+
+
 def test_word_fragments_of_many_texts(monkeypatch):
     """Texts that are hashed together have the fragments that each has alone; every window is in one of them."""
     from fraglens.llm import suffix_dedup
