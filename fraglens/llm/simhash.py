@@ -524,8 +524,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     tokens = tokens.select("token", "node", "size", "pos", F.coalesce(F.get("first", F.col("pos") - 1), F.lit(0)).alias("prev"))
     cells = materialise(tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(slim(shared), "token long, node long, size int, pos int, prev long"))
     nodes = cells.select("node").distinct()
-    bitmaps = materialise(own.select("node", "size", "bitmap", "fp", "first").join(nodes, "node", "left_semi"))
-    discard(own)
+    bitmaps = materialise(own.select("node", "size", "bitmap", "fp").join(nodes, "node", "left_semi"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """The texts of the nodes (node), and others by chance, without moving those of all documents."""
@@ -599,7 +598,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         grouped = lambda rows: rows.repartition(n, "token").sortWithinPartitions("token", "label")
         shape = left.select(columns).schema
         rows = materialise(grouped(left.select(columns)).mapInArrow(slim(placed), shape))
-        drawn = rows.join(bitmaps.select("node", "bitmap", "first"), "node").select(*columns, "bitmap", F.slice("first", 1, F.col("pos")).alias("head"))
+        drawn = rows.join(own.select("node", "bitmap", "first"), "node").select(*columns, "bitmap", F.slice("first", 1, F.col("pos")).alias("head"))
         close = materialise(grouped(drawn).mapInArrow(slim(partnered), StructType([*shape, *StructType.fromDDL("bitmap binary")])))
         discard(rows)
         sets = texts_of(close).mapInArrow(slim(hashed), "node long, set array<long>")
@@ -618,6 +617,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         linked = linked.unionByName(verified(compared(left)))
         done += shares
     roots = connected_components(linked.unionByName(copies))
+    discard(own)
     discard(cells)
     discard(bitmaps)
     return roots
